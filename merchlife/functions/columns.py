@@ -152,3 +152,16 @@ def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
         .withColumn("_copy", inner)
         .drop("_block", "_copy", times)
     )
+
+
+def left_join_hot_right(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join for a right side that may hold very many rows of one key.
+
+    A skewed partition of the right side of a left join cannot be split, because each part
+    would report its left rows as unmatched. So the matches come from an inner join, where
+    either side can be split, and the rest from an anti join against the distinct keys.
+    Both sides are read twice: pass scans or stages, not long plans.
+    """
+    matched = left.join(right, keys)
+    unmatched = left.join(right.select(*keys).distinct(), keys, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)

@@ -14,7 +14,7 @@ from merchlife.functions.columns import (
     month,
     month_diff,
 )
-from merchlife.params import Params
+from merchlife.params import Params, shift_month
 
 
 def billing_in_country(billing: DataFrame, client_base: DataFrame, p: Params):
@@ -93,6 +93,16 @@ def month_calendar(spark: SparkSession, p: Params) -> DataFrame:
     return spark.range(1).select(F.explode(months).alias("mes"))
 
 
+def evaluated_months(calendar: DataFrame, base: DataFrame) -> DataFrame:
+    """The calendar with the number of merchant rows billed in each month."""
+    billed = base.groupBy(month("billing_date_monthly").alias("mes")).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    return calendar.join(billed, "mes", "left").select(
+        "mes", F.coalesce("_rows", F.lit(0).cast("long")).alias("registros_base")
+    )
+
+
 def has_volume() -> Column:
     return (F.col("tpv_usd") > 0) & (F.col("tpt") > 0)
 
@@ -106,11 +116,13 @@ def activity_distance(base: DataFrame, p: Params) -> DataFrame:
     table; no range join and no scan per month.
     """
     billed = F.col("billing_date_monthly")
+    oldest = shift_month(p.first_month, -p.churn_months)
     own = month(billed)
     starts = F.when(billed > own, F.add_months(own, 1)).otherwise(own)
     months = F.sequence(F.col("_from"), F.col("_to"), F.expr("interval 1 month"))
     return (
-        base.filter(has_volume() & F.col("account_create_date").isNotNull() & billed.isNotNull())
+        base.filter(has_volume() & F.col("account_create_date").isNotNull())
+        .filter(billed.between(day(oldest), day(p.last_month)))
         .select(
             F.col("name_merchant_").alias("name_merchant"),
             "group",
@@ -147,7 +159,8 @@ def churn_by_month(churn: DataFrame, p: Params) -> DataFrame:
 
 
 def active_payment_usage(active: DataFrame, base: DataFrame, p: Params) -> DataFrame:
-    usage = base.select(
+    in_calendar = F.col("billing_date_monthly").between(day(p.first_month), day(p.last_month))
+    usage = base.filter(in_calendar).select(
         "name_merchant_",
         F.to_date("billing_date_monthly").alias("_month"),
         *MEASURES,

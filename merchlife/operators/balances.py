@@ -5,48 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchlife.functions.columns import exact_avg, month, with_return_flag
+from merchlife.functions.columns import (
+    exact_avg,
+    left_join_hot_right,
+    month,
+    with_return_flag,
+)
 from merchlife.sources.tables import monthly_fx, to_usd
 
 
-def avg_balance_month(balance: DataFrame, smb: DataFrame) -> DataFrame:
-    """Mean balance per account and month. Aggregated before the allow-list join, so the
-    snapshots are map-side combined and a hot account is one row per month in the join."""
-    return (
-        balance.groupBy(
-            F.col("cuenta_id").alias("account_id"), month("fecha_creacion").alias("fecha_saldo")
-        )
-        .agg(exact_avg("saldo").alias("saldo"))
-        .join(smb, "account_id", "left_semi")
-    )
+def account_month_average(balance: DataFrame) -> DataFrame:
+    """Mean balance per account and month. The snapshots are map-side combined, so a hot
+    account is one row per month in every later join."""
+    return balance.groupBy(
+        F.col("cuenta_id").alias("account_id"), month("fecha_creacion").alias("fecha_saldo")
+    ).agg(exact_avg("saldo").alias("saldo"))
 
 
-def month_end_balance(balance: DataFrame, smb: DataFrame) -> DataFrame:
+def month_end_rows(balance: DataFrame) -> DataFrame:
     """Balance rows taken on the last day of their month."""
     taken = F.to_date("fecha_creacion")
-    return (
-        balance.filter(taken == F.last_day(taken))
-        .select(
-            F.col("cuenta_id").alias("account_id"),
-            month("fecha_creacion").alias("fecha_saldo"),
-            "saldo",
-            F.lit("last").alias("es_ultimo"),
-        )
-        .join(smb, "account_id", "left_semi")
+    return balance.filter(taken == F.last_day(taken)).select(
+        F.col("cuenta_id").alias("account_id"),
+        month("fecha_creacion").alias("fecha_saldo"),
+        "saldo",
+        F.lit("last").alias("es_ultimo"),
     )
 
 
+def avg_balance_month(averages: DataFrame, smb: DataFrame) -> DataFrame:
+    return averages.join(smb, "account_id", "left_semi")
+
+
+def month_end_balance(balance: DataFrame, smb: DataFrame) -> DataFrame:
+    return month_end_rows(balance).join(smb, "account_id", "left_semi")
+
+
 def merchant_balance_usd(
-    averages: DataFrame, month_ends: DataFrame, names: DataFrame, fx: DataFrame, currency: str
+    averages: DataFrame, balance: DataFrame, names: DataFrame, fx: DataFrame, currency: str
 ) -> DataFrame:
     """Both balances in USD, summed per merchant and month after a DISTINCT that does not
-    see the account: equal balances of two accounts of one merchant count once."""
-    last = month_ends.select(
-        "account_id", "fecha_saldo", F.col("saldo").alias("_last")
-    ).distinct()
+    see the account: equal balances of two accounts of one merchant count once.
+
+    `names` holds exactly the allow-listed accounts, so joining it is also the filter. The
+    DISTINCT shuffles on all four columns and the sum is combined before its own shuffle:
+    a merchant with very many accounts is spread over all tasks until it is a few rows.
+    """
+    keys = ["account_id", "fecha_saldo"]
+    last = month_end_rows(balance).select(*keys, F.col("saldo").alias("_last")).distinct()
     rates = monthly_fx(fx, currency).withColumnRenamed("fx_month", "fecha_saldo")
     return (
-        averages.join(last, ["account_id", "fecha_saldo"], "left")
+        left_join_hot_right(averages, last, keys)
         .join(names, "account_id")
         .join(rates, "fecha_saldo", "left")
         .select(

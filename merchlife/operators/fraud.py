@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchlife.functions.columns import USD, month, repeat_rows
+from merchlife.functions.columns import USD, left_join_hot_right, month, repeat_rows
 from merchlife.sources.tables import monthly_fx, to_usd
 
 
@@ -66,7 +66,7 @@ def fraud_usd(
     owners = names.withColumnRenamed("account_id", "cuenta_id")
     rates = monthly_fx(fx, currency).withColumnRenamed("fx_month", "fecha_creacion_nombre")
     return (
-        fraud.join(values, "transaccion_id", "left")
+        left_join_hot_right(fraud, values, ["transaccion_id"])
         .join(owners, "cuenta_id")
         .join(rates, "fecha_creacion_nombre", "left")
         .select(

@@ -19,7 +19,7 @@ from merchlife.functions.columns import (
 from merchlife.operators.activity import has_volume
 from merchlife.operators.attributes import ACCOUNT_KEYS, REFERRED
 from merchlife.operators.lifecycle import ACTIVE
-from merchlife.params import Params
+from merchlife.params import Params, shift_month
 
 RFM_COLUMNS = (
     "recencia",
@@ -52,10 +52,12 @@ def rfm_values(financials: DataFrame, p: Params) -> DataFrame:
     volume of the scoring window, in fixed point. Merchants without volume in the window
     are not scored. Each month is exploded to the windows it belongs to."""
     own = month("month")
+    oldest = shift_month(p.first_month, 1 - p.rfm_window)
     months = F.sequence(F.col("_from"), F.col("_to"), F.expr("interval 1 month"))
     age = month_diff("_own", "mes")
     return (
-        financials.filter(F.col("name_merchant").isNotNull() & F.col("month").isNotNull())
+        financials.filter(F.col("name_merchant").isNotNull())
+        .filter((F.col("month") >= day(oldest)) & (F.col("month") < day(p.as_of_month)))
         .select(
             F.col("name_merchant").alias("nombre"),
             "tpt",

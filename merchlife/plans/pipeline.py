@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import wraps
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +29,11 @@ def step(build: Callable) -> Callable:
 
     @wraps(build)
     def once(self: MerchantPipeline) -> DataFrame:
-        if build.__name__ not in self._built:
-            self._built[build.__name__] = build(self)
-        return self._built[build.__name__]
+        # Steps only wait for the steps they read, so these locks cannot form a circle.
+        with self._locks[build.__name__]:
+            if build.__name__ not in self._built:
+                self._built[build.__name__] = build(self)
+            return self._built[build.__name__]
 
     return once
 
@@ -61,11 +65,19 @@ class MerchantPipeline:
         self.p = params
         self.store = store or StageStore(spark)
         self._built: dict[str, DataFrame] = {}
+        self._locks: dict[str, RLock] = {n: RLock() for n in vars(type(self))}
 
     @classmethod
     def stages(cls) -> list[str]:
         return [n for n, f in vars(cls).items() if getattr(f, "is_stage", False)]
 
+    def prepare(self, workers: int = 4) -> None:
+        """Writes all stages, independent ones at the same time: the next one fills the
+        slots that the last tasks of another leave free."""
+        with ThreadPoolExecutor(workers) as pool:
+            for done in [pool.submit(getattr(self, name)) for name in self.stages()]:
+                done.result()
+
     # Account dimension
 
     @stage
@@ -82,7 +94,7 @@ class MerchantPipeline:
     def payment_method_flags(self) -> DataFrame:
         return activity.payment_method_flags(self.src.agg_monthly, self.src.client_base, self.p)
 
-    @step
+    @stage
     def merchant_month_financials(self) -> DataFrame:
         return activity.merchant_month_financials(self.src.client_base, self.p)
 
@@ -94,7 +106,8 @@ class MerchantPipeline:
 
     @step
     def month_calendar(self) -> DataFrame:
-        return activity.month_calendar(self.spark, self.p)
+        calendar = activity.month_calendar(self.spark, self.p)
+        return activity.evaluated_months(calendar, self.merchant_month_base())
 
     @stage
     def activity_distance(self) -> DataFrame:
@@ -206,9 +219,13 @@ class MerchantPipeline:
 
     # Balances
 
+    @stage
+    def account_month_average(self) -> DataFrame:
+        return balances.account_month_average(self.src.balance)
+
     @step
     def avg_balance_month(self) -> DataFrame:
-        return balances.avg_balance_month(self.src.balance, self.smb())
+        return balances.avg_balance_month(self.account_month_average(), self.smb())
 
     @step
     def month_end_balance(self) -> DataFrame:
@@ -217,8 +234,8 @@ class MerchantPipeline:
     @stage
     def merchant_balance_usd(self) -> DataFrame:
         return balances.merchant_balance_usd(
-            self.avg_balance_month(),
-            self.month_end_balance(),
+            self.account_month_average(),
+            self.src.balance,
             self.names(),
             self.src.fx,
             self.p.fx_currency,

@@ -6,6 +6,7 @@ are made by ids that match nothing, not by leaving rows out.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -257,4 +258,6 @@ def fixture_sources(spark: SparkSession, folder: str, store: StageStore) -> Sour
     """The fixture as source tables, each written once: the pipeline then starts from
     Parquet scans, as it would from the warehouse tables."""
     tables = fixture_tables(spark, folder)
-    return Sources(**{n: store.save(f"source_{n}", df) for n, df in tables.items()})
+    with ThreadPoolExecutor(6) as pool:
+        saved = pool.map(lambda t: (t[0], store.save(f"source_{t[0]}", t[1])), tables.items())
+        return Sources(**dict(saved))

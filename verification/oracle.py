@@ -148,6 +148,10 @@ def steps(p: Params) -> dict[str, str]:
         "calendar": f"""
             SELECT CAST(m AS DATE) AS mes
             FROM generate_series({day(p.first_month)}, {day(p.last_month)}, INTERVAL 1 MONTH) t(m)""",
+        "evaluated": """
+            SELECT mes, count(billing_date_monthly) AS registros_base FROM calendar
+            LEFT JOIN base ON last_day(billing_date_monthly) = last_day(mes)
+            GROUP BY mes""",
         "distance": """
             SELECT name, mes, grp, date_diff('month', max(billing_date_monthly), mes) AS inactividad
             FROM calendar JOIN base ON billing_date_monthly <= mes
@@ -636,7 +640,7 @@ OUTPUTS: dict[str, tuple[str, str]] = {
         + ", "
         + ", ".join(f"{m} f" for m in MEASURES),
     ),
-    "month_calendar": ("calendar", "mes d"),
+    "month_calendar": ("evaluated", "mes d, registros_base i"),
     "active_merchants": ("active", "name_merchant s, mes d, inactividad i, group s"),
     "active_payment_usage": ("active_usage", ACTIVITY),
     "method_count_inactive": ("active_counted", COUNTED),
