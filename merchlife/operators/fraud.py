@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from merchlife.functions.columns import USD, left_join_hot_right, month, repeat_rows
 from merchlife.sources.tables import monthly_fx, to_usd
 
+FRAUD_KEYS = ("cuenta_id", "usuario_id", "transaccion_id", "orden_id")
+
 
 def fraud_disputes(dispute: DataFrame) -> DataFrame:
     """(orden_id, number of refunded fraud disputes): one row per order."""
@@ -29,55 +31,69 @@ def disputed_transactions(transaction: DataFrame, dispute: DataFrame) -> DataFra
 
 
 def fraud_orders(dispute: DataFrame, order: DataFrame, smb: DataFrame) -> DataFrame:
-    """(orden_id, cuenta_id, multiplicity) of the disputed orders of allow-listed accounts."""
+    """(orden_id, cuenta_id, multiplicity) of the disputed orders of allow-listed accounts.
+
+    The explicit shuffle between join and aggregation moves only disputed orders. Without
+    it the aggregation would rely on the join's partitioning, and AQE could then not split
+    a hot order.
+    """
     return (
         order.join(fraud_disputes(dispute), "orden_id")
+        .repartition("orden_id", "cuenta_id")
         .groupBy("orden_id", "cuenta_id")
         .agg(F.sum("_times").alias("_times"))
         .join(smb.withColumnRenamed("account_id", "cuenta_id"), "cuenta_id", "left_semi")
     )
 
 
-def fraud_transactions(
-    transaction: DataFrame, orders: DataFrame, keep_copies: bool = True
-) -> DataFrame:
-    """Disputed transactions with the account of their order. Disputes and orders are
-    joined first, so the transactions, by far the largest side, are joined once, and AQE
-    can split a hot order of theirs."""
+def fraud_transactions(transaction: DataFrame, orders: DataFrame) -> DataFrame:
+    """Disputed transactions with the account of their order, once per dispute. Disputes
+    and orders are joined first, so the transactions, by far the largest side, are joined
+    once, and AQE can split a hot order of theirs."""
     joined = transaction.join(orders, "orden_id")
-    rows = repeat_rows(joined, "_times") if keep_copies else joined
-    return rows.select("cuenta_id", "usuario_id", "transaccion_id", "orden_id")
+    return repeat_rows(joined, "_times").select(*FRAUD_KEYS)
+
+
+def named_fraud(transaction: DataFrame, orders: DataFrame, names: DataFrame) -> DataFrame:
+    """Disputed transactions without the repeats, with the merchant: the input of the
+    DISTINCT amounts, where repeats do not count."""
+    owned = orders.select("orden_id", "cuenta_id").join(
+        names.withColumnRenamed("account_id", "cuenta_id"), "cuenta_id"
+    )
+    return transaction.join(owned, "orden_id").select("name_merchant", *FRAUD_KEYS)
 
 
-def fraud_usd(
-    fraud: DataFrame, amounts: DataFrame, names: DataFrame, fx: DataFrame, currency: str
+def fraud_values(
+    fraud: DataFrame, amounts: DataFrame, fx: DataFrame, currency: str
 ) -> DataFrame:
-    """Fraud rows with merchant, month and purchase value in USD, DISTINCT."""
-    ids = fraud.select("transaccion_id").distinct()
-    values = (
-        amounts.join(ids, "transaccion_id", "left_semi")
+    """(transaction, month, USD value) of the fraud transactions, DISTINCT. The semi join
+    keeps the other amounts out of every later shuffle; the explicit shuffle spreads the
+    rows of a hot transaction, as in fraud_orders."""
+    keys = ["transaccion_id", "fecha_creacion_nombre", "_value"]
+    rates = monthly_fx(fx, currency).withColumnRenamed("fx_month", "fecha_creacion_nombre")
+    return (
+        amounts.join(fraud.select("transaccion_id").distinct(), "transaccion_id", "left_semi")
         .select(
             "transaccion_id",
             month("fecha_creacion").alias("fecha_creacion_nombre"),
-            F.col("pm_purchase_value").cast("decimal(20,3)").alias("_value"),
+            F.col("pm_purchase_value").alias("_value"),
         )
+        .repartition(*keys)
         .distinct()
-    )
-    owners = names.withColumnRenamed("account_id", "cuenta_id")
-    rates = monthly_fx(fx, currency).withColumnRenamed("fx_month", "fecha_creacion_nombre")
-    return (
-        left_join_hot_right(fraud, values, ["transaccion_id"])
-        .join(owners, "cuenta_id")
         .join(rates, "fecha_creacion_nombre", "left")
         .select(
-            "name_merchant",
-            "cuenta_id",
-            "usuario_id",
             "transaccion_id",
-            "orden_id",
             "fecha_creacion_nombre",
             to_usd("_value").alias("pm_purchase_value"),
         )
+    )
+
+
+def fraud_usd(fraud: DataFrame, values: DataFrame) -> DataFrame:
+    """Fraud rows with merchant, month and purchase value in USD, DISTINCT."""
+    return (
+        left_join_hot_right(fraud, values, ["transaccion_id"])
+        .select("name_merchant", *FRAUD_KEYS, "fecha_creacion_nombre", "pm_purchase_value")
         .distinct()
     )
 

@@ -264,21 +264,18 @@ class MerchantPipeline:
         return fraud.fraud_transactions(self.src.transaction, self.fraud_orders())
 
     @stage
-    def fraud_once(self) -> DataFrame:
-        """Fraud transactions without the repeats, which the DISTINCT would remove."""
-        return fraud.fraud_transactions(
-            self.src.transaction, self.fraud_orders(), keep_copies=False
+    def named_fraud(self) -> DataFrame:
+        return fraud.named_fraud(self.src.transaction, self.fraud_orders(), self.names())
+
+    @stage
+    def fraud_values(self) -> DataFrame:
+        return fraud.fraud_values(
+            self.named_fraud(), self.src.transaction_amount, self.src.fx, self.p.fx_currency
         )
 
     @stage
     def fraud_usd(self) -> DataFrame:
-        return fraud.fraud_usd(
-            self.fraud_once(),
-            self.src.transaction_amount,
-            self.names(),
-            self.src.fx,
-            self.p.fx_currency,
-        )
+        return fraud.fraud_usd(self.named_fraud(), self.fraud_values())
 
     @step
     def fraud_by_merchant_month(self) -> DataFrame:
@@ -329,7 +326,7 @@ class MerchantPipeline:
     def active_city(self) -> DataFrame:
         return attributes.standardise_city(self.active_attributes())
 
-    @step
+    @stage
     def group_fees(self) -> DataFrame:
         return attributes.group_fees(self.src.fee, self.src.charge_profile)
 

@@ -80,9 +80,9 @@ def test_fraud_rows_repeat_per_dispute_and_dedup_later(table, spark, rows):
     assert FR.disputed_transactions(tx, dispute).count() == 4
     orders = FR.fraud_orders(dispute, order, smb)
     assert FR.fraud_transactions(tx, orders).count() == 8
-    once = FR.fraud_transactions(tx, orders, keep_copies=False)
+    named = FR.named_fraud(tx, orders, names)
     amounts = table("transaction_amount", [(100, ts(2020, 1, 9), 10.0), (100, ts(2020, 1, 9), 10.0)])
-    usd = FR.fraud_usd(once, amounts, names, table("fx", RATES), "COP")
+    usd = FR.fraud_usd(named, FR.fraud_values(named, amounts, table("fx", RATES), "COP"))
     assert rows(usd, "cuenta_id", "transaccion_id", "pm_purchase_value") == [
         ("7", 100, Decimal("2.500000000000000000")),
         ("7", 101, None),
@@ -96,6 +96,17 @@ def test_fraud_rows_repeat_per_dispute_and_dedup_later(table, spark, rows):
     ]
 
 
+def test_amounts_without_a_rate_collapse(table, spark):
+    """Different amounts of one transaction are one row when their month has no rate."""
+    smb, names, dispute, order, tx = fraud_inputs(
+        table, spark, [(1, "FRAUD", "REFUNDED")], [(1, "7")], [(5, 100, 1)]
+    )
+    named = FR.named_fraud(tx, FR.fraud_orders(dispute, order, smb), names)
+    amounts = table("transaction_amount", [(100, ts(2020, 9, 1), 1.0), (100, ts(2020, 9, 2), 2.0)])
+    usd = FR.fraud_usd(named, FR.fraud_values(named, amounts, table("fx", RATES), "COP"))
+    assert [r["pm_purchase_value"] for r in usd.collect()] == [None]
+
+
 def test_fraud_totals_agree(small):
     from pyspark.sql import functions as F
 
