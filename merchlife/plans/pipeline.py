@@ -71,12 +71,15 @@ class MerchantPipeline:
     def stages(cls) -> list[str]:
         return [n for n, f in vars(cls).items() if getattr(f, "is_stage", False)]
 
-    def prepare(self, workers: int = 4) -> None:
-        """Writes all stages, independent ones at the same time: the next one fills the
-        slots that the last tasks of another leave free."""
+    def prepare(self) -> None:
+        """Writes all stages."""
+        self._together(*self.stages(), workers=4)
+
+    def _together(self, *names: str, workers: int = 3) -> None:
+        """Runs independent steps at the same time: the jobs of one fill the slots that the
+        last tasks of another leave free."""
         with ThreadPoolExecutor(workers) as pool:
-            for done in [pool.submit(getattr(self, name)) for name in self.stages()]:
-                done.result()
+            list(pool.map(lambda name: getattr(self, name)(), names))
 
     # Account dimension
 
@@ -233,6 +236,7 @@ class MerchantPipeline:
 
     @stage
     def merchant_balance_usd(self) -> DataFrame:
+        self._together("account_month_average", "names")
         return balances.merchant_balance_usd(
             self.account_month_average(),
             self.src.balance,
@@ -287,6 +291,7 @@ class MerchantPipeline:
 
     @stage
     def active_with_fraud(self) -> DataFrame:
+        self._together("months_on_book", "merchant_balance_usd", "fraud_usd")
         return fraud.active_with_fraud(self.active_with_balances(), self.fraud_by_merchant_month())
 
     @step
@@ -342,6 +347,7 @@ class MerchantPipeline:
 
     @stage
     def active_fees(self) -> DataFrame:
+        self._together("active_with_fraud", "merchant_fees")
         return attributes.attach_fees(self.active_city(), self.merchant_fees(), self.p)
 
     @step
@@ -390,6 +396,7 @@ class MerchantPipeline:
 
     @step
     def active_rfm(self) -> DataFrame:
+        self._together("active_fees", "rfm_scores")
         return rfm.attach_rfm(self.active_fees(), self.rfm_scores())
 
     @step
@@ -492,6 +499,7 @@ class MerchantPipeline:
 
     @step
     def lifecycle_rfm(self) -> DataFrame:
+        self._together("lifecycle_rows", "rfm_scores")
         return rfm.attach_rfm(self.lifecycle_rows(), self.rfm_scores())
 
     @step
