@@ -42,12 +42,15 @@ def payment_method_flags(billing: DataFrame, client_base: DataFrame, p: Params)
 
     min and max ignore duplicates, so both sides are reduced to their account-months
     before the join: the raw facts are only ever map-side combined, and a hot account
-    arrives at the join as one row per month.
+    arrives at the join as one row per month. The ten flags travel as the bits of one
+    number, which keeps both shuffles and the sort narrow.
     """
     facts, base, how = billing_in_country(billing, client_base, p)
-    used = [F.max(flag(F.col("payment_method_type") == m.upper())).alias(m) for m in METHODS]
+    bit = F.lit(0)
+    for i, m in enumerate(METHODS):
+        bit = F.when(F.col("payment_method_type") == m.upper(), F.lit(1 << i)).otherwise(bit)
     per_account = facts.groupBy("account_id", "account_name", "billing_date_monthly").agg(
-        F.min("account_create_date").alias("account_create_date"), *used
+        F.min("account_create_date").alias("account_create_date"), F.bit_or(bit).alias("_used")
     )
     groups = _account_month_groups(base)
     on = (F.col("account_id") == F.col("_account")) & (
@@ -62,8 +65,12 @@ def payment_method_flags(billing: DataFrame, client_base: DataFrame, p: Params)
         )
         .agg(
             F.min("account_create_date").alias("account_create_date"),
-            *(F.max(m).alias(m) for m in METHODS),
+            F.bit_or("_used").alias("_used"),
         )
+        .withColumns(
+            {m: F.shiftright("_used", i).bitwiseAND(F.lit(1)) for i, m in enumerate(METHODS)}
+        )
+        .drop("_used")
     )
 
 

@@ -223,12 +223,12 @@ class MerchantPipeline:
     # Balances
 
     @stage
-    def account_month_average(self) -> DataFrame:
-        return balances.account_month_average(self.src.balance)
+    def account_month_balance(self) -> DataFrame:
+        return balances.account_month_balance(self.src.balance)
 
     @step
     def avg_balance_month(self) -> DataFrame:
-        return balances.avg_balance_month(self.account_month_average(), self.smb())
+        return balances.avg_balance_month(self.account_month_balance(), self.smb())
 
     @step
     def month_end_balance(self) -> DataFrame:
@@ -236,9 +236,9 @@ class MerchantPipeline:
 
     @stage
     def merchant_balance_usd(self) -> DataFrame:
-        self._together("account_month_average", "names")
+        self._together("account_month_balance", "names")
         return balances.merchant_balance_usd(
-            self.account_month_average(),
+            self.account_month_balance(),
             self.src.balance,
             self.names(),
             self.src.fx,

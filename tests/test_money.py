@@ -35,7 +35,7 @@ def test_month_end_in_a_leap_year(table, spark, rows):
 def balances_usd(table, names, data, rates):
     balance = table("balance", data)
     return B.merchant_balance_usd(
-        B.account_month_average(balance), balance, names, table("fx", rates), "COP"
+        B.account_month_balance(balance), balance, names, table("fx", rates), "COP"
     )
 
 
@@ -64,6 +64,17 @@ def test_several_month_end_rows_fan_out(table, spark):
     assert (row[2], row[3]) == (2 * average, Decimal(3))
 
 
+def test_month_end_with_and_without_a_value(table, spark):
+    """A NULL month-end balance is a row of its own, which counts the average again."""
+    _, names = accounts(table, spark, ["7", "8"])
+    data = [
+        ("7", ts(2020, 1, 31, 1), None), ("7", ts(2020, 1, 31, 2), 8.0),
+        ("8", ts(2020, 1, 31, 1), None), ("8", ts(2020, 1, 2), 12.0),
+    ]
+    out = {r[0]: (r[2], r[3]) for r in balances_usd(table, names, data, RATES).collect()}
+    assert out == {"own 7": (Decimal(4), Decimal(2)), "own 8": (Decimal(3), None)}
+
+
 def fraud_inputs(table, spark, disputes, orders, transactions):
     smb, names = accounts(table, spark, ["7", "8"], [("7", "m"), ("8", "m")])
     return smb, names, table("dispute", disputes), table("order", orders), table("transaction", transactions)

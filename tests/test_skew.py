@@ -88,7 +88,7 @@ def test_hot_account_month_among_the_balances(strict):
         F.col("cuenta_id").alias("account_id"), F.concat(F.lit("m"), "cuenta_id").alias("name_merchant")
     ).distinct()
     fx = strict.createDataFrame([(2020, 1, "COP", Decimal(4))], "year int, month int, currency string, usd decimal(20,3)")
-    averages = B.account_month_average(balance)
+    averages = B.account_month_balance(balance)
     out = B.merchant_balance_usd(averages, balance, names, fx, "COP")
     found = {r[0]: (r[2], r[3]) for r in out.filter("name_merchant in ('m0', 'm7')").collect()}
     ids = range(0, N, 3)
