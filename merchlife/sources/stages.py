@@ -27,12 +27,15 @@ class StageStore:
     push filters into the stage; and the file sizes tell Catalyst which sides are small
     enough to broadcast. Without a shared folder the stage is persisted instead, which
     keeps its lineage and so survives a lost executor too.
+
+    A run with a name writes over the stages of the last run of that name, which bounds the
+    space a scheduled job holds; without a name every store has a folder of its own.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, run: str | None = None):
         self.spark = spark
         root = shared_folder(spark)
-        self.root = root and f"{root.rstrip('/')}/merchlife-stages/{uuid.uuid4().hex}"
+        self.root = root and f"{root.rstrip('/')}/merchlife-stages/{run or uuid.uuid4().hex}"
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         if self.root is None:

@@ -1,10 +1,13 @@
+import random
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from merchlife.functions.columns import METHODS
 from merchlife.operators import activity as A
 from merchlife.operators import cohorts as K
+from merchlife.params import shift_month
 
 
 def d(month, year=2020, dom=1):
@@ -115,6 +118,32 @@ def test_activity_equals_the_loop(table, params):
     assert not {(n, m, g) for n, m, _, g in active} & {(n, m, g) for n, m, _, g in churn}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_random_histories_equal_the_loop(spark, params, seed):
+    rng = random.Random(seed)
+    data = []
+    for merchant in range(60):
+        for _ in range(rng.randint(1, 12)):
+            month = shift_month(params.as_of, -rng.randint(-2, 60))
+            created = month.replace(day=rng.randint(1, 28))
+            if rng.random() < 0.3:  # created after some of its billing
+                created = shift_month(created, rng.randint(0, 8)).replace(day=rng.randint(1, 28))
+            billed = month if rng.random() < 0.8 else month.replace(day=rng.randint(2, 28))
+            group = rng.choice(["SMB", "Partnership", "Corporate", None])
+            data.append((
+                None if merchant == 0 else f"m{merchant}", billed, group,
+                None if rng.random() < 0.05 else created,
+                rng.choice([0.0, 1.0, 2.0, None]), rng.choice([0.0, 5.0, 5.0]),
+            ))
+    base = spark.createDataFrame(
+        data, "name_merchant_ string, billing_date_monthly date, `group` string, "
+        "account_create_date date, tpt double, tpv_usd double",
+    )
+    source = base.collect()
+    found = {tuple(r) for r in A.activity_distance(base, params).collect()}
+    assert found == loop_reference(source, params, lambda gap: gap <= 6)
+
+
 def test_billing_inside_a_month_counts_from_the_next(table, params):
     base = base_of(table, params, [billing("1", d(3, dom=15))], [client("1", d(3))])
     months = [r["mes"] for r in A.activity_distance(base, params).orderBy("mes").collect()]

@@ -4,7 +4,14 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from merchlife.functions import columns as C
-from merchlife.sources.tables import CONTRACTS, Sources, conform, to_usd
+from merchlife.sources.tables import (
+    CONTRACTS,
+    Sources,
+    conform,
+    to_usd,
+    write_report,
+    write_table,
+)
 
 
 def one(spark, expr, **values):
@@ -99,8 +106,6 @@ def test_conform_casts_and_keeps_optional(spark):
 
 
 def test_sources_round_trip(spark, small, tmp_path):
-    from merchlife.sources.tables import write_report, write_table
-
     folder = str(tmp_path / "tables")
     for name in CONTRACTS:
         if name != "rfm":
@@ -109,14 +114,22 @@ def test_sources_round_trip(spark, small, tmp_path):
     assert again.account.count() == small.src.account.count()
     assert again.rfm is None
 
+    for name in CONTRACTS:
+        if name != "rfm":
+            spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(f"t_{name}")
+    named = Sources.from_catalog(spark, {n: f"t_{n}" for n in CONTRACTS if n != "rfm"})
+    assert named.client_base.count() == small.src.client_base.count()
+
+
+def test_sinks_replace(spark, small, tmp_path):
     write_report(small.monthly_kpis(), str(tmp_path / "kpis"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "kpis")).count() == 36
+    write_report(small.monthly_kpis(), str(tmp_path / "kpis_parquet"))
+    assert spark.read.parquet(str(tmp_path / "kpis_parquet")).count() == 36
 
     spark.sql(f"CREATE DATABASE IF NOT EXISTS sinks LOCATION '{tmp_path}/db'")
-    for _ in range(2):  # replaces, does not append
+    for _ in range(2):
         write_table(small.monthly_kpis(), "sinks.kpis", "mes")
     assert spark.table("sinks.kpis").count() == 36
     assert spark.table("sinks.kpis").filter(F.col("mes") == "1997-12-01").count() == 1
-    names = {"fx": "sinks.kpis"}
-    assert set(names) <= set(CONTRACTS)
     spark.sql("DROP DATABASE sinks CASCADE")

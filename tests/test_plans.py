@@ -76,6 +76,15 @@ def test_stages_live_in_the_checkpoint_folder(spark, small, tmp_path):
     assert str(tmp_path) in df.inputFiles()[0]
 
 
+def test_a_named_run_replaces_its_stages(spark, small, tmp_path):
+    session = stub(spark, {"spark.checkpoint.dir": str(tmp_path)})
+    first = StageStore(session, "monthly").save("x", small.smb()).inputFiles()
+    second = StageStore(session, "monthly").save("x", small.smb())
+    assert second.count() == small.smb().count()
+    assert not set(first) & set(second.inputFiles())
+    assert len(list((tmp_path / "merchlife-stages").iterdir())) == 1
+
+
 def test_no_local_folder_on_a_cluster(spark, small):
     store = StageStore(stub(spark, {"spark.master": "yarn"}))
     assert store.root is None
