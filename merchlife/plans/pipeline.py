@@ -190,6 +190,7 @@ class MerchantPipeline:
 
     @stage
     def months_on_book(self) -> DataFrame:
+        self._together("activity_distance", "merchant_milestones")
         return cohorts.months_on_book(self.active_null_to_zero(), self.merchant_milestones())
 
     @step
@@ -296,6 +297,7 @@ class MerchantPipeline:
 
     @step
     def executive_dashboard(self) -> DataFrame:
+        self._together("active_with_fraud", "names")
         return reports.executive_dashboard(
             self.monthly_kpis(),
             self.names_created_by_month(),
