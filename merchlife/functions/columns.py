@@ -103,13 +103,13 @@ def flag(condition: Column) -> Column:
 def city_group(c: Column | str) -> Column:
     """City spelled in many ways to its group; NULL and unknown cities to Others."""
     value = col(c)
-    rules = F
-    for pattern, group, *exceptions in CITY_RULES:
+    found = F.lit(OTHER_CITIES)
+    for pattern, group, *exceptions in reversed(CITY_RULES):
         hit = value.ilike(pattern)
         for spelling in exceptions:
             hit = hit & (value != spelling)
-        rules = rules.when(hit, F.lit(group))
-    return rules.otherwise(F.lit(OTHER_CITIES))
+        found = F.when(hit, F.lit(group)).otherwise(found)
+    return found
 
 
 def yes_no(present: Column) -> Column:

@@ -152,9 +152,10 @@ def _label(high: Column) -> Column:
 
 
 def _group(recent: Column, frequent: Column, valuable: Column) -> Column:
-    label = F
+    label = F.lit(None).cast("string")
     for (r, f, m), name in GROUPS.items():
-        label = label.when((recent == r) & (frequent == f) & (valuable == m), F.lit(name))
+        here = (recent == r) & (frequent == f) & (valuable == m)
+        label = F.when(here, F.lit(name)).otherwise(label)
     return label
 
 
