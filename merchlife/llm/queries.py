@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlife.llm import langid, neardup
+from merchlife.llm import decontam, langid, neardup, secrets
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_positional_index(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.drop("key")
+
+
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(_table(spark, folder, "documents"))
+
+
 def op6_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(_table(spark, folder, "documents")).select("doc_id", "class_id", "keep")
 
@@ -20,5 +29,5 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict_languages(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_dart_minhash, op8_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_positional_index, op5_secret_scan, op6_dart_minhash, op8_language_id)}
+ORACLES = {"op4_positional_index": decontam.oracle(), "op5_secret_scan": secrets.oracle()}
