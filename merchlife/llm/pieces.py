@@ -66,6 +66,10 @@ class PieceModel:
         for text in spelled:
             for char in text:
                 self.symbol.setdefault(char, len(self.symbol) + self.size)
+        self.of_code = np.full(0x10000, -1, np.int32)
+        for char, i in self.symbol.items():
+            if len(char) == 1 and ord(char) < 0xFFFF:
+                self.of_code[ord(char)] = i
         order = {i: n for n, i in enumerate(sorted(score, key=lambda i: -score[i]))}
         self.joins: dict[tuple[int, int], tuple[int, int]] = {}
         for text, i in spelled.items():
@@ -122,17 +126,26 @@ class PieceModel:
     def segment(self, units: list[bytes], salts: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, one after the other, and how many each has."""
         chars = [u.decode("utf-8") for u in units]
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(units)
-        lengths = np.array([len(c) for c in chars])
-        for low, high in ((0, 5), (5, 8), (8, 12), (12, 20), (20, WIDE)):
-            pick = np.flatnonzero((lengths > low) & (lengths <= high))
+        lengths = np.fromiter(map(len, chars), np.int64, len(chars))
+        start, count, pool, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [], 0
+        for low, high in ((0, 5), (5, 8), (8, 12), (12, 20), (20, WIDE), (WIDE, None)):
+            pick = np.flatnonzero((lengths > low) & (lengths <= (high or len(lengths) and lengths.max())))
             for part in np.array_split(pick, max(1, len(pick) // 20_000)):
-                if len(part):
-                    for i, symbols in zip(part.tolist(), self._side_by_side([chars[i] for i in part.tolist()], lengths[part], salts[part], rate), strict=True):
-                        out[i] = symbols
-        for i in np.flatnonzero(lengths > WIDE).tolist():
-            out[i] = np.array(self.agenda(chars[i], int(salts[i]), rate), np.int32)
-        return (np.concatenate(out) if out else np.empty(0, np.int32)), np.array([len(o) for o in out], np.int64)
+                if not len(part):
+                    continue
+                some = [chars[i] for i in part.tolist()]
+                if high:
+                    flat, n = self._side_by_side(some, lengths[part], salts[part], rate)
+                else:
+                    one = [self.agenda(c, x, rate) for c, x in zip(some, salts[part].tolist(), strict=True)]
+                    flat, n = np.array([i for o in one for i in o], np.int32), np.array([len(o) for o in one], np.int64)
+                start[part], count[part] = size + np.cumsum(n) - n, n
+                pool.append(flat)
+                size += len(flat)
+        if not pool:
+            return np.empty(0, np.int32), count
+        before = np.cumsum(count) - count
+        return np.concatenate(pool)[np.arange(size) + np.repeat(start - before, count)], count
 
     def _spelled(self, symbols: list[int], char_at: list[str]) -> list[int]:
         """Symbols without an id as byte pieces."""
@@ -144,13 +157,12 @@ class PieceModel:
                 out.extend(self.byte_id[b] for b in text.encode())
         return out
 
-    def _side_by_side(self, chars: list[str], lengths: np.ndarray, salts: np.ndarray, rate: float) -> list[np.ndarray]:
+    def _side_by_side(self, chars: list[str], lengths: np.ndarray, salts: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
         n, wide = len(chars), int(lengths.max())
-        get = self.symbol.get
         sym = np.full((n, wide), -1, np.int64)
         place = np.tile(np.arange(wide + 1), (n, 1))
         inside = place[:, :wide] < lengths[:, None]
-        sym[inside] = np.fromiter((get(c, -1) for text in chars for c in text), np.int64, int(lengths.sum()))
+        sym[inside] = self._symbols("".join(chars))
         np.minimum(place, lengths[:, None], out=place)
         count = lengths.copy()
         rank, into = self.lookup(sym[:, :-1], sym[:, 1:]) if wide > 1 else (np.full((n, 1), NONE), np.zeros((n, 1), np.int32))
@@ -185,18 +197,23 @@ class PieceModel:
                 gone = (left >= 0) & (left + 1 >= count[rows]) & (left < r.shape[1])
                 r[at[gone], left[gone]] = NONE
             sym[rows], place[rows], rank[rows], into[rows] = s, p, r, t
-        out = []
-        fine = ((sym >= 0) & (sym < self.size)) | (columns[None, :] >= count[:, None])
-        whole = fine.all(1).tolist()
-        counts = count.tolist()
-        short = sym.astype(np.int32)
-        for i in range(n):
-            if whole[i]:
-                out.append(short[i, : counts[i]])
-            else:
-                ends = place[i].tolist()
-                out.append(np.array(self._spelled(sym[i, : counts[i]].tolist(), [chars[i][ends[j] : ends[j + 1]] for j in range(counts[i])]), np.int32))
-        return out
+        used = columns[None, :] < count[:, None]
+        odd = (used & ((sym < 0) | (sym >= self.size))).any(1)
+        if not odd.any():
+            return sym[used].astype(np.int32), count
+        rows = [sym[i, : count[i]].astype(np.int32) for i in range(n)]
+        for i in np.flatnonzero(odd).tolist():
+            ends = place[i].tolist()
+            rows[i] = np.array(self._spelled(sym[i, : count[i]].tolist(), [chars[i][ends[j] : ends[j + 1]] for j in range(count[i])]), np.int32)
+        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+
+    def _symbols(self, text: str) -> np.ndarray:
+        """The symbol of each character, -1 where there is none."""
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        symbols = self.of_code[np.minimum(codes, 0xFFFF)].astype(np.int64)
+        for i in np.flatnonzero(codes >= 0xFFFF).tolist():
+            symbols[i] = self.symbol.get(text[i], -1)
+        return symbols
 
     @staticmethod
     def _skipped(salt: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
