@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlife.llm.bytescan import U64, mix, pieces, texts
-from merchlife.llm.storage import Workspace
+from merchlife.llm.storage import Workspace, row_key, without
 
 UND = "und"
 BITS = 60  # languages in one mask
@@ -179,3 +179,12 @@ def predict_languages(docs: DataFrame, **options) -> DataFrame:
     filters = learn(space, docs.where(~held_out()), **options)
     out = identify(docs.select("doc_id", "text", held_out().alias("key")), filters)
     return out.select("doc_id", F.col("key").alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, score: float = 0.2, length: int = 20, **options) -> DataFrame:
+    """``docs`` without rows of no language: ``und``, or ``length`` characters and more that score below ``score`` in all languages."""
+    space = Workspace(docs.sparkSession, "langid")
+    filters = learn(space, docs.where(~held_out()), **options)
+    found = identify(docs.select("doc_id", "text", F.struct(row_key().alias("key"), F.length("text").alias("n")).alias("key")), filters)
+    bad = (F.col("lang_pred") == UND) | ((F.col("score") < score) & (F.col("key.n") >= length))
+    return without(docs, space.save(found.where(bad).select("key.key"), "rejected"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from merchlife.llm.bytescan import U64, mix, pieces, runs, span_hashes, texts, unit
 from merchlife.llm.components import connected_components
-from merchlife.llm.storage import Workspace, row_key, small
+from merchlife.llm.storage import Workspace, keyed, row_key, small, without
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -272,3 +272,17 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
         F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce((F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")), F.lit(True)).alias("keep"),
     )
+
+
+def deduplicate(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``docs`` with one row of each class; rows without text stay."""
+    space = Workspace(docs.sparkSession, "dedup")
+    found = space.save(classes(docs, p), "classes")
+    left = without(docs, space.save(found.where("not keep").select("key"), "gone"))
+    twice = space.save(found.where("keep").groupBy("key").count().where("count > 1").select("key"), "repeated")
+    if twice.isEmpty():
+        return left
+    rows = keyed(left)
+    again = rows.join(small(twice, 1_000_000), "key", "left_semi")
+    once = again.where("row.text is not null").dropDuplicates(["key"]).union(again.where("row.text is null"))
+    return rows.join(small(twice, 1_000_000), "key", "left_anti").union(once).select("row.*")

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlife.llm import decontam, langid, neardup, secrets
+from merchlife.llm import decontam, langid, neardup, permindex, pieces, records, rollups, secrets, sharding, urlfilter
+from merchlife.llm.storage import Workspace
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return permindex.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op2_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return records.digests(records.tokenized(_table(spark, folder, "documents"), path, end_id=2))
+
+
+def op3_label_propagation(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, folder, "documents"), shards=40)
+
+
 def op4_positional_index(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.drop("key")
@@ -25,9 +41,53 @@ def op6_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(_table(spark, folder, "documents")).select("doc_id", "class_id", "keep")
 
 
+def op7_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict_languages(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_positional_index, op5_secret_scan, op6_dart_minhash, op8_language_id)}
-ORACLES = {"op4_positional_index": decontam.oracle(), "op5_secret_scan": secrets.oracle()}
+def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents are counted and inserted; copies of a text are deleted but for the least id; what is
+    left and not English is recounted with the tokenizer for many languages, under its version; the
+    batch of deletions is sent twice. Returns the totals."""
+    docs = _table(spark, folder, "documents")
+    space = Workspace(spark, "rollup")
+    one, many = (public_tokenizers.path(f"byte_bpe_{x}.tiktoken") for x in ("50k", "multi_50k"))
+    rollup = rollups.Rollup(spark, f"{space.path}/totals")
+    rollup.commit("load", rollups.events(rollups.count_tokens(docs, one, public_tokenizers.PATTERN), "insert", "byte_bpe_50k"))
+    named = docs.select("doc_id", "source", "lang", F.md5("text").alias("copy"))
+    least = named.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = space.save(named.join(least, "copy").where("doc_id <> least").select("doc_id", "source", "lang").distinct(), "copies")
+    deletes = rollups.events(copies, "delete", "byte_bpe_50k")
+    rollup.commit("copies", deletes)
+    other = docs.where("lang <> 'en'").join(copies.select("doc_id"), "doc_id", "left_anti")
+    moved = rollups.events(other, "delete", "byte_bpe_50k").union(rollups.events(rollups.count_tokens(other, many, public_tokenizers.PATTERN), "insert", "byte_bpe_multi_50k"))
+    rollup.commit("languages", moved)
+    rollup.commit("copies", deletes)
+    return rollup.totals()
+
+
+def op10_redirect_equivalence(spark: SparkSession, folder: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, folder, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_permutation_index,
+        op2_token_records,
+        op3_label_propagation,
+        op4_positional_index,
+        op5_secret_scan,
+        op6_dart_minhash,
+        op7_merge_dropout,
+        op8_language_id,
+        op9_token_rollup,
+        op10_redirect_equivalence,
+    )
+}
+ORACLES = {"op4_positional_index": decontam.oracle(), "op5_secret_scan": secrets.oracle(), "op10_redirect_equivalence": urlfilter.oracle()}

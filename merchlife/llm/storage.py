@@ -50,3 +50,13 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to hold at most ``rows`` rows; else as it is, and Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(docs: DataFrame, keys: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in ``keys(key)``; its columns stay as they are."""
+    return keyed(docs).join(small(keys.select("key").distinct(), rows), "key", "left_anti").select("row.*")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, row): rows in a struct, so that no column name can clash."""
+    return docs.select(row_key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
