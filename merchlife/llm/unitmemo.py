@@ -15,7 +15,7 @@ class UnitMemo:
     A worker that has met ``limit`` units forgets them all and starts anew, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]], limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
