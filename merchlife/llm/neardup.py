@@ -124,7 +124,7 @@ def _throw(sig, doc, element, weight, bound, k) -> None:
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """docs x bands bucket keys; a band's number is part of its key."""
-    bits = sig.view(U64).reshape(len(sig), bands, -1)
+    bits = sig.view(U64).reshape(len(sig), bands, sig.shape[1] // bands)
     keys = np.broadcast_to(np.arange(1, bands + 1, dtype=U64), (len(sig), bands)).copy()
     for i in range(bits.shape[2]):
         keys = mix(keys * U64(0x9E3779B97F4A7C15) + bits[:, :, i])
@@ -270,7 +270,7 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
         "doc_id",
         "key",
         F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce((F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")), F.lit(True)).alias("keep"),
+        (F.col("part").isNull() | ((F.col("key") == F.col("best.key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))).alias("keep"),
     )
 
 

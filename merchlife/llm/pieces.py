@@ -26,6 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from merchlife.llm.bytescan import U64, mix, texts
 from merchlife.llm.bytescan import pieces as cut
@@ -305,7 +306,7 @@ def encode(docs: DataFrame, path: str, dropout: Dropout = Dropout()) -> DataFram
         raise ValueError(f"the input has columns named {sorted(taken)}")
     kept = [c for c in docs.columns if c != "text"]
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), "text", key_of().alias("key"))
-    kind = row.schema["row"].dataType.simpleString()
+    schema = T.StructType([row.schema["row"], T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -326,7 +327,7 @@ def encode(docs: DataFrame, path: str, dropout: Dropout = Dropout()) -> DataFram
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.astype(np.int32)), mask=pa.array(none))
             yield pa.record_batch([batch.column("row"), column, lists, pa.array(counts), pa.array(same)], names=["row", "text", "ids", "n_pieces", "lossless"])
 
-    out = row.mapInArrow(run, f"row {kind}, text string, ids array<int>, n_pieces long, lossless boolean")
+    out = row.mapInArrow(run, schema)
     return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns), "ids", "n_pieces", "lossless")
 
 
@@ -339,7 +340,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     if "text" in rows.columns:
         raise ValueError("the input has a column named text")
     row = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(ids).alias("ids"))
-    kind = row.schema["row"].dataType.simpleString()
+    schema = T.StructType([row.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches):
         m = model(path)
@@ -350,4 +351,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             made = [None if null else data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace") for i, null in enumerate(column.is_null().to_pylist())]
             yield pa.record_batch([batch.column("row"), pa.array(made, pa.string())], names=["row", "text"])
 
-    return row.mapInArrow(run, f"row {kind}, text string").select("row.*", "text")
+    return row.mapInArrow(run, schema).select("row.*", "text")
