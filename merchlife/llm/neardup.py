@@ -8,7 +8,7 @@ A dart lands on one of ``k`` coordinates; each coordinate keeps the rank of its
 the document's weight. Ranks are the signature: equal with the probability of the similarity.
 
 Equal texts are one node. Bands of the signature put nodes into buckets. In each bucket every node
-is compared with the least node (a star, so a bucket of n gives n pairs); nodes of a bucket that
+is compared with the one that meets most others (a star, so a bucket of n gives n pairs); nodes of a bucket that
 are not yet in one component are then compared across components, in blocks of bounded size. Only
 pairs whose exact similarity reaches the threshold link. A class is a component of links.
 
@@ -42,7 +42,11 @@ class Params:
     bands: int = 20
     rows: int = 5
     block: int = 512  # nodes of a bucket compared with each other in one group
-    doubtful: float = 0.2  # pairs whose share of equal coordinates is so far below the similarity (5 deviations) are not verified
+    few: int = 16  # buckets up to this size are compared by a plain join
+    doubtful: float = 0.14  # pairs whose share of equal coordinates is so far below the similarity (3.5 deviations) are not verified
+
+    fine: int = 1024  # coordinates, a byte each, of nodes that are compared across components
+    close: float = 0.045  # their pairs' bound below the similarity, 3.5 deviations again
 
     @property
     def k(self) -> int:
@@ -195,21 +199,33 @@ def verified(space: Workspace, pairs: DataFrame, docs: DataFrame, p: Params, tag
     return space.save(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, similarity double"), f"{tag}-links")
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
+def _finely(texts_by_node: DataFrame, p: Params) -> DataFrame:
+    """(node, sig): longer signatures, a byte for each coordinate."""
+
+    def run(batches):
+        for batch in pieces(batches, limit=1 << 18):
+            doc, element, weight = shingles(batch.column("text"), p.words)
+            sig = signatures(doc, element, weight.astype(np.float64), len(batch), p.fine)
+            yield pa.record_batch([batch.column("node"), _fixed(mix(sig.view(U64)).astype(np.uint8))], names=["node", "sig"])
+
+    return texts_by_node.select("node", "text").mapInArrow(run, "node binary, sig binary")
+
+
+def _likely(pairs: DataFrame, sigs: DataFrame, least: float, kind: type) -> DataFrame:
     """Pairs whose signatures agree often enough to be worth an exact comparison."""
     left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
     right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(len(batch), -1) for c in ("sa", "sb"))
-            near = (x == y).mean(1) >= p.similarity - p.doubtful if len(batch) else np.empty(0, bool)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(max(1, len(batch)), -1) for c in ("sa", "sb"))
+            near = (x == y).mean(1) >= least if len(batch) else np.empty(0, bool)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
-def _across(space: Workspace, buckets: DataFrame, sigs: DataFrame, parts: DataFrame, p: Params) -> DataFrame:
+def _across(space: Workspace, buckets: DataFrame, docs: DataFrame, parts: DataFrame, p: Params) -> DataFrame:
     """Likely pairs of one bucket but different components: nodes outside a bucket's largest component against all its nodes.
 
     Both sides are cut into blocks of about ``p.block`` nodes; a group holds one block of each.
@@ -217,13 +233,16 @@ def _across(space: Workspace, buckets: DataFrame, sigs: DataFrame, parts: DataFr
     placed = buckets.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     kinds = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    kinds = space.save(kinds.where("parts > 1").select("bucket", "main", F.ceil(F.col("all") / p.block).cast("int").alias("blocks")), "split-buckets")
+    kinds = space.save(kinds.where("parts > 1").select("bucket", "main", F.when(F.col("all") <= p.few, 0).otherwise(F.ceil(F.col("all") / p.block)).cast("int").alias("blocks")), "split-buckets")
     rows = space.save(placed.join(kinds, "bucket"), "split-rows")
-    one = rows.where("blocks = 1")
+    asked = small(space.save(rows.select("node").distinct(), "split-nodes"), 200_000)
+    sigs = space.save(_finely(docs.join(asked, "node", "left_semi").dropDuplicates(["node"]), p), "fine-signatures")
+    least = p.similarity - p.close
+    one = rows.where("blocks = 0")
     rest = one.where("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
     pairs = rest.join(one.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy")), "bucket").where("cx <> cy")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    many = rows.where("blocks > 1").join(sigs, "node").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int"))
+    many = rows.where("blocks > 0").join(sigs, "node").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int"))
     grid = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sides = many.where("component <> main").select("bucket", F.col("own").alias("i"), grid.alias("j"), F.lit(True).alias("rest"), "node", "component", "sig")
     sides = sides.union(many.select("bucket", grid.alias("i"), F.col("own").alias("j"), F.lit(False).alias("rest"), "node", "component", "sig"))
@@ -232,17 +251,17 @@ def _across(space: Workspace, buckets: DataFrame, sigs: DataFrame, parts: DataFr
         outer, inner = table.filter(table["rest"]), table.filter(pa.compute.invert(table["rest"]))
         found: tuple[list, list] = ([], [])
         if len(outer) and len(inner):
-            y = np.frombuffer(b"".join(inner["sig"].to_pylist()), np.uint32).reshape(len(inner), -1)
+            y = np.frombuffer(b"".join(inner["sig"].to_pylist()), np.uint8).reshape(len(inner), -1)
             names, parts_of = inner["node"].to_pylist(), inner["component"].to_pylist()
             for node, part, sig in zip(outer["node"].to_pylist(), outer["component"].to_pylist(), outer["sig"].to_pylist(), strict=True):
-                for at in np.flatnonzero((y == np.frombuffer(sig, np.uint32)).mean(1) >= p.similarity - p.doubtful):
+                for at in np.flatnonzero((y == np.frombuffer(sig, np.uint8)).mean(1) >= least):
                     if parts_of[at] != part:
                         found[0].append(min(node, names[at]))
                         found[1].append(max(node, names[at]))
         return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary())})
 
     blocks = sides.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
-    return _likely(pairs, sigs, p).union(blocks).distinct()
+    return _likely(pairs, sigs, least, np.uint8).union(blocks).distinct()
 
 
 def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -256,12 +275,17 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     signs = space.save(signed(docs.where("node is not null"), p).dropDuplicates(["node"]), "signatures")
     sigs = signs.select("node", "sig")
     buckets = signs.select("node", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("bucket", "head")
-    buckets = space.save(buckets.join(heads, "bucket"), "buckets")
-    stars = buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(space, _likely(stars, sigs, p), docs, p, "star").select("a", "b")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = space.save(buckets.join(sizes, "bucket"), "shared-buckets")
+    # The node that meets most others is the likeliest centre of a group of copies.
+    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    ranks = space.save(shared.join(met, "node").select("bucket", "node", "met"), "met")
+    heads = ranks.groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("head"))
+    buckets = space.save(ranks.select("bucket", "node").join(heads, "bucket"), "buckets")
+    stars = buckets.where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+    links = verified(space, _likely(stars, sigs, p.similarity - p.doubtful, np.uint32), docs, p, "star").select("a", "b")
     parts = space.save(connected_components(space, links, "star-parts"), "star-components")
-    more = verified(space, _across(space, buckets.select("bucket", "node"), sigs, parts, p), docs, p, "rest").select("a", "b")
+    more = verified(space, _across(space, buckets.select("bucket", "node"), docs, parts, p), docs, p, "rest").select("a", "b")
     parts = space.save(connected_components(space, links.union(more), "parts"), "components")
     grouped = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     names = grouped.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
