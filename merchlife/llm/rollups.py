@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlife.llm.bytescan import pieces
+from merchlife.llm.storage import Workspace
 
 EVENT = "doc_id long, version string, kind string, source string, lang string, n_tokens long, at long"
 SIGNED = "doc_id long, version string, source string, lang string, docs long, tokens long"
@@ -94,6 +95,7 @@ class Rollup:
     def changes(self, events: DataFrame) -> DataFrame:
         """The signed rows that ``events`` amount to."""
         last = events.groupBy(*KEY).agg(F.max(F.struct("at", "n_tokens", "kind", "source", "lang")).alias("e")).select(*KEY, "e.*")
+        last = Workspace(self.spark, "rollup-events").save(last, "last")  # read twice, counted once
         held = self.signed().groupBy(*KEY, "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
         named = last.select(*KEY, F.lit(True).alias("asked"))
         same = [F.col(f"h.{c}").eqNullSafe(F.col(f"n.{c}")) for c in KEY]
