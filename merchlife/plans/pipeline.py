@@ -65,11 +65,12 @@ class MerchantPipeline:
         self.p = params
         self.store = store or StageStore(spark)
         self._built: dict[str, DataFrame] = {}
-        self._locks: dict[str, RLock] = {n: RLock() for n in vars(type(self))}
+        self._locks: dict[str, RLock] = {n: RLock() for n in dir(type(self))}
 
     @classmethod
     def stages(cls) -> list[str]:
-        return [n for n, f in vars(cls).items() if getattr(f, "is_stage", False)]
+        named = dict.fromkeys(n for c in reversed(cls.__mro__) for n in vars(c))
+        return [n for n in named if getattr(getattr(cls, n), "is_stage", False)]
 
     def prepare(self) -> None:
         """Writes all stages."""

@@ -91,3 +91,11 @@ def test_no_local_folder_on_a_cluster(spark, small):
     df = store.save("x", small.smb())
     assert df.is_cached and df.count() == small.smb().count()
     df.unpersist()
+
+
+def test_a_subclass_has_the_stages_of_its_base():
+    class Own(MerchantPipeline):
+        pass
+
+    assert MerchantPipeline.stages() and Own.stages() == MerchantPipeline.stages()
+    assert set(Own.stages()) <= set(Own(None, None, None, store=object())._locks)
