@@ -46,9 +46,6 @@ CITY_RULES = (
 )
 OTHER_CITIES = "Others"
 
-# Sums of money and transaction counts are kept in 1/10000 units (see exact_sum).
-FIXED_POINT = 10_000.0
-
 USD = "decimal(38,18)"
 
 
@@ -76,8 +73,8 @@ def month_number(c: Column | str) -> Column:
     return F.month(col(c)) + F.year(col(c)) * 100
 
 
-def to_fixed(c: Column | str) -> Column:
-    return F.rint(col(c) * FIXED_POINT).cast("long")
+def decimal_sum(c: Column | str) -> Column:
+    return F.sum(col(c).cast(USD))
 
 
 def exact_sum(c: Column | str) -> Column:
@@ -85,10 +82,10 @@ def exact_sum(c: Column | str) -> Column:
 
     Double addition gives other last bits whenever a task is retried or a shuffle block
     arrives earlier, and the wide DISTINCTs downstream would then see two versions of one
-    row. Adding longs in 1/10000 units is exact, needs no boxed decimal in the
-    aggregation buffer, and overflow raises instead of wrapping.
+    row. Decimals with 18 places add exactly, so small addends count in full. A value or
+    sum of 1e20 or more raises, as the pipeline asks for ANSI mode.
     """
-    return F.sum(to_fixed(c)) / F.lit(FIXED_POINT)
+    return decimal_sum(c).cast("double")
 
 
 def exact_avg(c: Column | str) -> Column:

@@ -71,8 +71,9 @@ def active_without_rfm(rows: DataFrame) -> DataFrame:
 
 
 def align_active(rows: DataFrame) -> DataFrame:
-    """Active rows in the state schema. They are distinct already: they come from a
-    DISTINCT and every later join has at most one different row per key."""
+    """Active rows in the state schema. They are distinct already: the attribute step
+    starts with a DISTINCT, every later join has at most one different row per key, and the
+    schema holds every column of theirs."""
     return align(tag_state(rows, ACTIVE), STATE_SCHEMA)
 
 
@@ -110,7 +111,8 @@ def signups(signup: DataFrame) -> DataFrame:
 
 def union_states(*arms: DataFrame) -> DataFrame:
     """UNION of arms that are distinct in themselves and differ in estado_: no row can be
-    in two of them, so the wide DISTINCT over the union has nothing to do and is left out."""
+    in two of them, so the wide DISTINCT over the union has nothing to do and is left out.
+    Arms that went through attach_update_flag may repeat rows: use distinct() on those."""
     first, *rest = arms
     for arm in rest:
         first = first.unionByName(arm)
@@ -125,6 +127,15 @@ def created_without_activation(created: DataFrame, active: DataFrame) -> DataFra
     return created.join(started, ["nombre_merchant", "mes"], "left_anti")
 
 
+def flag_activated(created: DataFrame, active: DataFrame) -> DataFrame:
+    """Created rows with flag = 1 where the merchant also started to transact in that
+    month, once for each activated row."""
+    started = active.filter(F.col("created_activated") == "activa_mes_creada").select(
+        "nombre_merchant", "mes", F.lit(1).alias("flag")
+    )
+    return created.join(started, ["nombre_merchant", "mes"], "left")
+
+
 def merchant_segments(segment: DataFrame) -> DataFrame:
     """The segment with the lowest priority number per merchant."""
     return segment.groupBy(F.col("name_merchant").alias("nombre_merchant")).agg(

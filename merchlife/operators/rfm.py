@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from merchlife.functions.columns import (
     FEES,
-    FIXED_POINT,
     day,
+    decimal_sum,
     month,
     month_diff,
     previous_in_merchant,
-    to_fixed,
 )
 from merchlife.operators.activity import has_volume
 from merchlife.operators.attributes import ACCOUNT_KEYS, REFERRED
@@ -45,12 +44,18 @@ GROUPS = {
 }
 
 _METRICS = ("_recency", "_frequency", "_monetary")
+UNITS = 10_000  # per transaction and USD in the summed metrics
+
+
+def _units(total: Column) -> Column:
+    return (F.round(total, 4) * UNITS).cast("long")
 
 
 def rfm_values(financials: DataFrame, p: Params) -> DataFrame:
     """Per merchant and calendar month: months since the last volume, and transactions and
-    volume of the scoring window, in fixed point. Merchants without volume in the window
-    are not scored. Each month is exploded to the windows it belongs to."""
+    volume of the scoring window. The sums are exact and then rounded to the four decimals
+    of the scores' table, kept as whole numbers. Merchants without volume in the window are
+    not scored. Each month is exploded to the windows it belongs to."""
     own = month("month")
     oldest = shift_month(p.first_month, 1 - p.rfm_window)
     months = F.sequence(F.col("_from"), F.col("_to"), F.expr("interval 1 month"))
@@ -71,8 +76,8 @@ def rfm_values(financials: DataFrame, p: Params) -> DataFrame:
         .groupBy("nombre", "mes")
         .agg(
             F.min(F.when(has_volume(), age)).alias("_recency"),
-            F.sum(to_fixed("tpt")).alias("_frequency"),
-            F.sum(to_fixed("tpv_usd")).alias("_monetary"),
+            _units(decimal_sum("tpt")).alias("_frequency"),
+            _units(decimal_sum("tpv_usd")).alias("_monetary"),
         )
         .filter(F.col("_recency").isNotNull())
     )
@@ -127,8 +132,8 @@ def rfm_scores(values: DataFrame, p: Params) -> DataFrame:
         scored = values
         limits = [
             F.lit(recency),
-            F.lit(round(frequency * FIXED_POINT)),
-            F.lit(round(monetary * FIXED_POINT)),
+            F.lit(round(frequency * UNITS)),
+            F.lit(round(monetary * UNITS)),
         ]
     recent = F.col("_recency") <= limits[0]
     frequent = F.col("_frequency") >= limits[1]
@@ -139,7 +144,7 @@ def rfm_scores(values: DataFrame, p: Params) -> DataFrame:
         F.col("mes").alias("fecha_mes"),
         F.col("_recency").alias("recencia"),
         _label(recent).alias("alt_baj_recencia"),
-        F.round(F.col("_frequency") / F.lit(FIXED_POINT)).cast("long").alias("frecuencia_internet"),
+        F.round(F.col("_frequency") / F.lit(UNITS)).cast("long").alias("frecuencia_internet"),
         _label(frequent).alias("alt_baj_frecuencia"),
         usd.cast("decimal(38,4)").alias("monto"),
         _label(valuable).alias("alt_baj_monto"),
@@ -179,8 +184,7 @@ def rfm_summary(rows: DataFrame, p: Params) -> DataFrame:
 
 
 def rfm_migration(rows: DataFrame, p: Params) -> DataFrame:
-    """Active rows with the group of the merchant's previous row: the migration matrix is
-    a count over (last_rfm, rfm_group)."""
-    return _active_since(rows, p).withColumn(
-        "last_rfm", previous_in_merchant("rfm_group", *FEES)
-    )
+    """Active rows with the group of the merchant's previous row, by merchant and month: the
+    migration matrix is a count over (last_rfm, rfm_group). The sort is by ranges."""
+    found = _active_since(rows, p).withColumn("last_rfm", previous_in_merchant("rfm_group", *FEES))
+    return found.orderBy("nombre_merchant", "mes")

@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import wraps
 from threading import RLock
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from merchlife.operators import (
@@ -20,6 +21,7 @@ from merchlife.operators import (
     rfm,
 )
 from merchlife.params import Params
+from merchlife.session import check_session
 from merchlife.sources.stages import StageStore
 from merchlife.sources.tables import Sources, account_names, smb_accounts
 
@@ -60,6 +62,8 @@ class MerchantPipeline:
         params: Params,
         store: StageStore | None = None,
     ):
+        if spark is not None:
+            check_session(spark)
         self.spark = spark
         self.src = sources
         self.p = params
@@ -79,8 +83,9 @@ class MerchantPipeline:
     def _together(self, *names: str, workers: int = 3) -> None:
         """Runs independent steps at the same time: the jobs of one fill the slots that the
         last tasks of another leave free."""
+        run = inheritable_thread_target(self.spark)(lambda name: getattr(self, name)())
         with ThreadPoolExecutor(workers) as pool:
-            list(pool.map(lambda name: getattr(self, name)(), names))
+            list(pool.map(run, names))
 
     # Account dimension
 
@@ -261,7 +266,7 @@ class MerchantPipeline:
     def disputed_transactions(self) -> DataFrame:
         return fraud.disputed_transactions(self.src.transaction, self.src.dispute)
 
-    @step
+    @stage
     def fraud_orders(self) -> DataFrame:
         return fraud.fraud_orders(self.src.dispute, self.src.order, self.smb())
 
@@ -320,14 +325,19 @@ class MerchantPipeline:
     def merchant_profiles(self) -> DataFrame:
         return attributes.merchant_profiles(self.top_account_per_merchant(), self.src.account)
 
+    @step
+    def active_distinct(self) -> DataFrame:
+        """Rows that differed in NULL against 0 are equal by now."""
+        return self.active_with_fraud().distinct()
+
     @step
     def active_mcc(self) -> DataFrame:
-        return attributes.attach_mcc(self.active_with_fraud(), self.merchant_profiles())
+        return attributes.attach_mcc(self.active_distinct(), self.merchant_profiles())
 
     @step
     def active_attributes(self) -> DataFrame:
         """MCC and account attributes of the active rows, from one join."""
-        rows = attributes.attach_profile(self.active_with_fraud(), self.merchant_profiles())
+        rows = attributes.attach_profile(self.active_distinct(), self.merchant_profiles())
         return attributes.referred_flag(rows)
 
     @step
@@ -424,7 +434,7 @@ class MerchantPipeline:
 
     @step
     def churn_by_attributes(self) -> DataFrame:
-        return attributes.churn_by_attributes(self.churn_fees())
+        return attributes.churn_by_attributes(self.churn_rfm())
 
     # States
 
@@ -458,8 +468,9 @@ class MerchantPipeline:
 
     @step
     def created_segment(self) -> DataFrame:
-        """Segment and update flag on all created rows."""
-        rows = lifecycle.management_segment(self.created_state(), self.src.segment)
+        """Segment and update flag on all created rows, flagged as activated or not."""
+        flagged = lifecycle.flag_activated(self.created_state(), self.active_rfm())
+        rows = lifecycle.management_segment(flagged, self.src.segment)
         return lifecycle.attach_update_flag(rows, self.src.up_down)
 
     @step
@@ -486,9 +497,9 @@ class MerchantPipeline:
 
     @step
     def union_signups(self) -> DataFrame:
-        return lifecycle.union_states(
-            lifecycle.align(self.lifecycle_rows(), lifecycle.LIFECYCLE_SCHEMA), self.signups()
-        )
+        """Several changes of a merchant in a month may have repeated a row: DISTINCT."""
+        rows = lifecycle.align(self.lifecycle_rows(), lifecycle.LIFECYCLE_SCHEMA)
+        return lifecycle.union_states(rows, self.signups()).distinct()
 
     # Reports
 

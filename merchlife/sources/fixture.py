@@ -209,9 +209,10 @@ def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "order": orders.select(
             F.col("o_orderkey").alias("orden_id"), F.col("o_custkey").cast("string").alias("cuenta_id")
         ),
-        "transaction_amount": lineitem.groupBy(item.alias("transaccion_id")).agg(
-            F.min("l_shipdate").alias("fecha_creacion"),
-            F.min("l_extendedprice").alias("pm_purchase_value"),
+        "transaction_amount": lineitem.select(
+            item.alias("transaccion_id"),
+            F.col("l_shipdate").alias("fecha_creacion"),
+            F.col("l_extendedprice").alias("pm_purchase_value"),
         ),
         "fee": part.select(
             F.col("p_partkey").alias("perfil_cobranza_id"),

@@ -5,19 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir. A temporary folder serves
-    only a local master, where driver and executors are one process."""
+    only a local master, where driver and executors are one process. A cluster may name a
+    mounted path, so its scheme says nothing about whether it is shared."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if spark.conf.get("spark.master", "").startswith("local"):
         return tempfile.mkdtemp(prefix="merchlife-")
-    return None
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 class StageStore:
@@ -25,21 +25,22 @@ class StageStore:
 
     A lost executor then costs a re-read and not the lineage; readers prune columns and
     push filters into the stage; and the file sizes tell Catalyst which sides are small
-    enough to broadcast. Without a shared folder the stage is persisted instead, which
-    keeps its lineage and so survives a lost executor too.
+    enough to broadcast.
 
     A run with a name writes over the stages of the last run of that name, which bounds the
     space a scheduled job holds; without a name every store has a folder of its own.
+    close() removes the folder once no result is read any more.
     """
 
     def __init__(self, spark: SparkSession, run: str | None = None):
         self.spark = spark
-        root = shared_folder(spark)
-        self.root = root and f"{root.rstrip('/')}/merchlife-stages/{run or uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark).rstrip('/')}/merchlife-stages/{run or uuid.uuid4().hex}"
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        if self.root is None:
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

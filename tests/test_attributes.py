@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import date
 from decimal import Decimal
 
@@ -156,3 +157,52 @@ def test_activation_curve_ends_at_the_cohort_total(small):
         F.sum("activas_mes_mob").alias("a"), F.max("cumulative_sum").alias("b")
     )
     assert per.filter("a <> b").count() == 0
+
+
+def test_each_activated_row_flags_the_created_one(spark, rows):
+    created = spark.createDataFrame([("a", date(2020, 1, 1)), ("b", date(2020, 1, 1))], "nombre_merchant string, mes date")
+    active = spark.createDataFrame(
+        [("a", date(2020, 1, 1), "activa_mes_creada")] * 2 + [("b", date(2020, 1, 1), None)],
+        "nombre_merchant string, mes date, created_activated string",
+    )
+    out = rows(L.flag_activated(created, active), "nombre_merchant", "flag")
+    assert out == [("a", 1), ("a", 1), ("b", None)]
+
+
+def test_the_state_schema_holds_every_active_column(small):
+    """So that aligning distinct rows leaves them distinct."""
+    assert set(small.active_fees().columns) <= set(L.ACTIVITY_SCHEMA)
+    assert set(small.churn_fees().columns) - {"group"} <= set(L.ACTIVITY_SCHEMA)
+
+
+def test_changes_named_twice_do_not_count_twice(small):
+    from merchlife import MerchantPipeline
+    from merchlife.sources.stages import StageStore
+
+    twice = MerchantPipeline(small.spark, replace(small.src, up_down=small.src.up_down.union(small.src.up_down)), small.p, StageStore(small.spark))
+    twice._built |= {n: small._built[n] for n in small._built if n in ("active_fees", "merchant_profiles", "merchant_fees", "names", "activity_distance")}
+    assert twice.lifecycle_rows().count() > small.lifecycle_rows().count()
+    assert twice.union_signups().count() == small.union_signups().count()
+    total = lambda run: run.segment_dashboard().agg({"registros": "sum"}).first()[0]
+    assert total(twice) == total(small)
+
+
+def test_rows_that_differ_in_null_and_zero_are_one(small):
+    from merchlife import MerchantPipeline
+    from merchlife.sources.stages import StageStore
+
+    twin = MerchantPipeline(small.spark, small.src, small.p, StageStore(small.spark))
+    rows = small.active_with_fraud()
+    twin._built |= {"active_with_fraud": rows.union(rows), "merchant_profiles": small.merchant_profiles()}
+    assert twin.active_attributes().count() == small.active_attributes().count()
+
+
+def test_churn_counts_each_score_of_a_month(small):
+    from merchlife import MerchantPipeline
+    from merchlife.sources.stages import StageStore
+
+    scores = small.rfm_scores()
+    twice = MerchantPipeline(small.spark, small.src, small.p, StageStore(small.spark))
+    twice._built |= {"rfm_scores": scores.union(scores), "churn_fees": small.churn_fees()}
+    total = lambda run: run.churn_by_attributes().agg({"cantidad_churn": "sum"}).first()[0]
+    assert total(twice) == twice.churn_rfm().count() >= total(small)

@@ -68,6 +68,12 @@ def test_exact_sum_ignores_row_order(spark):
     assert sums == {65.0}
 
 
+def test_small_addends_count_in_full(spark):
+    df = spark.range(100_000).select(F.lit(0.00004).alias("v"))
+    assert df.agg(C.exact_sum("v")).first()[0] == 4.0
+    assert df.agg(C.exact_avg("v")).first()[0] == 0.00004
+
+
 def test_exact_aggregates_of_nulls(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert tuple(df.agg(C.exact_sum("v"), C.exact_avg("v")).first()) == (None, None)

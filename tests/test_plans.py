@@ -6,7 +6,8 @@ from types import SimpleNamespace
 import pytest
 
 from merchlife import MerchantPipeline
-from merchlife.operators import activity, attributes, cohorts
+from merchlife.operators import activity, attributes, cohorts, fraud
+from merchlife.session import check_session
 from merchlife.sources.stages import StageStore
 
 # Reports with a handful of rows per month may end in a single sorted partition.
@@ -43,6 +44,14 @@ def test_activity_reads_the_base_once(small):
     assert "GreaterThanOrEqual(billing_date_monthly" in text
 
 
+def test_transactions_stay_in_place_for_few_orders(spark, small):
+    """A threshold that holds the stored orders but not the transactions."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100kb")
+    text = plan(fraud.named_fraud(small.src.transaction, small.fraud_orders(), small.names()))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("BroadcastHashJoin") == 2 and "hashpartitioning" not in text
+
+
 def test_top_account_is_limited_before_the_shuffle(small):
     text = plan(small.top_account_per_merchant())
     assert text.count("WindowGroupLimit") == 2
@@ -86,11 +95,25 @@ def test_a_named_run_replaces_its_stages(spark, small, tmp_path):
 
 
 def test_no_local_folder_on_a_cluster(spark, small):
-    store = StageStore(stub(spark, {"spark.master": "yarn"}))
-    assert store.root is None
-    df = store.save("x", small.smb())
-    assert df.is_cached and df.count() == small.smb().count()
-    df.unpersist()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        StageStore(stub(spark, {"spark.master": "yarn"}))
+
+
+def test_close_removes_the_stages(spark, small, tmp_path):
+    store = StageStore(spark)
+    store.root = f"{tmp_path}/own"
+    store.save("x", small.smb())
+    store.close()
+    assert not (tmp_path / "own").exists()
+
+
+def test_other_time_zones_and_silent_overflow_are_refused():
+    settings = {"spark.sql.session.timeZone": "America/Bogota", "spark.sql.ansi.enabled": "true"}
+    with pytest.raises(ValueError, match="timeZone"):
+        check_session(stub(SimpleNamespace(read=None), settings))
+    settings |= {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "false"}
+    with pytest.raises(ValueError, match="ansi"):
+        check_session(stub(SimpleNamespace(read=None), settings))
 
 
 def test_a_subclass_has_the_stages_of_its_base():

@@ -88,7 +88,7 @@ FIXTURE: dict[str, str] = {
         SELECT o_orderkey AS orden_id, CAST(o_custkey AS VARCHAR) AS cuenta_id FROM orders""",
     "src_amount": """
         SELECT l_orderkey * 10 + l_linenumber AS transaccion_id,
-               min(l_shipdate) AS fecha_creacion, min(l_extendedprice) AS pm_purchase_value
+               l_shipdate AS fecha_creacion, l_extendedprice AS pm_purchase_value
         FROM lineitem GROUP BY ALL""",
     "src_fee": """
         SELECT p_partkey AS perfil_cobranza_id,

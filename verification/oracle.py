@@ -25,8 +25,18 @@ def listed(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+def dsum(x: str) -> str:
+    """Sum with 18 decimals. By way of text, as a direct cast multiplies in doubles."""
+    return f"sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)))"
+
+
 def esum(x: str) -> str:
-    return f"CAST(sum(CAST({x} AS DECIMAL(18, 4))) AS DOUBLE)"
+    return f"CAST(CAST({dsum(x)} AS VARCHAR) AS DOUBLE)"
+
+
+def score(x: str) -> str:
+    """The sum with the four decimals of the scores' table."""
+    return f"CAST(CAST(round({dsum(x)}, 4) AS VARCHAR) AS DOUBLE)"
 
 
 def eavg(x: str) -> str:
@@ -435,7 +445,7 @@ def steps(p: Params) -> dict[str, str]:
             WHERE f.name_merchant IS NOT NULL""",
         "rfm_raw": f"""
             SELECT nombre, mes, min(age) FILTER (WHERE tpv_usd > 0 AND tpt > 0) AS r,
-                   {esum("tpt")} AS f, {esum("tpv_usd")} AS m
+                   {score("tpt")} AS f, {score("tpv_usd")} AS m
             FROM rfm_ages GROUP BY ALL HAVING r IS NOT NULL""",
         "rfm_ranks": """
             SELECT *, row_number() OVER (PARTITION BY mes ORDER BY r) AS rank_r,
@@ -554,7 +564,7 @@ def steps(p: Params) -> dict[str, str]:
             SELECT s.*, d.update_ FROM segmented s LEFT JOIN src_up_down d
               ON d.name_merchant = s.nombre_merchant AND d.fecha = s.mes""",
         "created_updated": """
-            SELECT c.* EXCLUDE (flag), CASE
+            SELECT c.*, CASE
                 WHEN c.nombre_merchant IN (SELECT name_merchant FROM src_segment
                                            WHERE segment = 'ex_vip') THEN 'ex_vip'
                 WHEN c.nombre_merchant IN (SELECT name_merchant FROM src_segment
@@ -778,7 +788,7 @@ OUTPUTS: dict[str, tuple[str, str]] = {
         "created", f"nombre_merchant s, mes d, referidot s, ciudad s, {BY_KEYS}"
     ),
     "created_without_activation": ("created_new", STATE),
-    "created_segment_and_update": ("created_updated", SEGMENTED),
+    "created_segment_and_update": ("created_updated", f"{SEGMENTED}, flag i"),
     "union_with_created": ("three_states", STATE),
     "management_segment": ("segmented", f"{STATE}, gerenciado s"),
     "attach_update_flag": ("updated", SEGMENTED),
