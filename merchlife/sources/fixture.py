@@ -1,6 +1,6 @@
 """Input tables derived from the TPC-H-like test tables, as FIXTURES.md describes.
 
-Every row of a driver table becomes a fixture row: cases such as a join without a match
+Rows of a driver table become fixture rows, events only if they are sign-ups: cases such as a join without a match
 are made by ids that match nothing, not by leaving rows out.
 """
 
