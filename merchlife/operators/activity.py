@@ -205,8 +205,8 @@ def active_null_to_zero(rows: DataFrame) -> DataFrame:
     return rows.withColumns({m: F.coalesce(m, F.lit(0.0)) for m in MEASURES})
 
 
-def monthly_kpis(active: DataFrame) -> DataFrame:
-    return active.groupBy("mes").agg(
+def kpi_columns() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("registros"),
         exact_sum("tpt").alias("tpt"),
         exact_sum("tpv_usd").alias("tpv"),
@@ -214,7 +214,11 @@ def monthly_kpis(active: DataFrame) -> DataFrame:
         exact_sum("gm_usd").alias("gm"),
         F.sum("suma_de_metodos").alias("suma_metodos"),
         F.sum("inactivo").alias("inactivo"),
-    )
+    ]
+
+
+def monthly_kpis(active: DataFrame) -> DataFrame:
+    return active.groupBy("mes").agg(*kpi_columns())
 
 
 def lifecycle_status(base: DataFrame, p: Params) -> DataFrame:

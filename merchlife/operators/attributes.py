@@ -56,14 +56,6 @@ def attach_mcc(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     return rows.join(profiles.select("nombre_merchant", "codigo_mcc_id"), "nombre_merchant", "left")
 
 
-def attach_account_attributes(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Payment model, creation source, referral (still raw) and city."""
-    kept = profiles.select(
-        "nombre_merchant", "modelo_pagos", "fuente_creacion", REFERRED, "ciudad"
-    )
-    return rows.join(kept, "nombre_merchant", "left")
-
-
 def attach_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     """MCC and account attributes in one join."""
     kept = profiles.select("nombre_merchant", *ACCOUNT_KEYS, REFERRED, "ciudad")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlife.functions.columns import exact_avg, month, with_return_flag
@@ -99,10 +99,14 @@ def active_with_balances(mobs: DataFrame, balances: DataFrame) -> DataFrame:
     return with_return_flag(mobs).join(usd, ["nombre_merchant", "mes"], "left")
 
 
-def balances_by_month(active: DataFrame) -> DataFrame:
-    return active.groupBy("mes").agg(
+def balance_columns() -> list[Column]:
+    return [
         F.avg("saldo_promedio_mes").alias("saldo_promedio_mes_nombre"),
         F.avg("saldo_f_mes").alias("saldo_f_mes_nombre"),
         F.sum("saldo_promedio_mes").alias("saldo_promedio_mes_sum"),
         F.sum("saldo_f_mes").alias("saldo_f_mes_sum"),
-    )
+    ]
+
+
+def balances_by_month(active: DataFrame) -> DataFrame:
+    return active.groupBy("mes").agg(*balance_columns())

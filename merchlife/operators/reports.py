@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlife.functions.columns import FEES, day, exact_sum
+from merchlife.operators.activity import kpi_columns
 from merchlife.operators.attributes import ACCOUNT_KEYS, REFERRED
+from merchlife.operators.balances import balance_columns
 from merchlife.operators.cohorts import cohort_by_creation, cohort_by_first_trx
 from merchlife.operators.lifecycle import ACTIVE, CHURNED, CREATED, SIGNED_UP
 from merchlife.params import Params
@@ -14,13 +16,24 @@ from merchlife.params import Params
 SEGMENT_KEYS = (*ACCOUNT_KEYS, REFERRED, "city", *FEES, "gerenciado", "update_")
 
 
+def month_figures(active: DataFrame) -> DataFrame:
+    """Key figures, returns, activations and balances of each month, from one pass over the
+    active rows with balances and return flag. A month without returns or activations has
+    NULL, as if it were missing from a join."""
+    returned = F.when(F.col("back_from_churn") == "is back", 1)
+    activated = F.when(F.col("created_activated").isNotNull(), 1)
+    return active.groupBy("mes").agg(
+        *kpi_columns(),
+        F.sum(returned).alias("number_back"),
+        F.sum(activated).alias("primera_trx_mes_creacion"),
+        *balance_columns(),
+    )
+
+
 def executive_dashboard(
-    kpis: DataFrame,
+    figures: DataFrame,
     names_created: DataFrame,
-    returned: DataFrame,
     first_trx: DataFrame,
-    activated: DataFrame,
-    balances: DataFrame,
     churn: DataFrame,
     fraud: DataFrame,
     months: int = 37,
@@ -31,14 +44,11 @@ def executive_dashboard(
     )
     sides = [
         created,
-        returned.select("mes", "number_back"),
         first_trx.withColumnRenamed("primera_trx", "mes"),
-        activated,
-        balances,
         churn,
         fraud.withColumnRenamed("fecha_creacion_nombre", "mes"),
     ]
-    wide = kpis
+    wide = figures
     for side in sides:
         wide = wide.join(side, "mes", "left")
     without_trx = F.col("cantidad_nom_creados") - F.col("primera_trx_mes_creacion")

@@ -77,8 +77,9 @@ class MerchantPipeline:
         return [n for n in named if getattr(getattr(cls, n), "is_stage", False)]
 
     def prepare(self) -> None:
-        """Writes all stages."""
-        self._together(*self.stages(), workers=4)
+        """Writes all stages that this run needs."""
+        given = {"rfm_values", "computed_rfm"} if self.src.rfm is not None else set()
+        self._together(*(n for n in self.stages() if n not in given), workers=4)
 
     def _together(self, *names: str, workers: int = 3) -> None:
         """Runs independent steps at the same time: the jobs of one fill the slots that the
@@ -305,12 +306,9 @@ class MerchantPipeline:
     def executive_dashboard(self) -> DataFrame:
         self._together("active_with_fraud", "names")
         return reports.executive_dashboard(
-            self.monthly_kpis(),
+            reports.month_figures(self.active_with_fraud()),
             self.names_created_by_month(),
-            self.back_from_churn_by_month(),
             self.first_transaction_counts(),
-            self.created_activated_by_month(),
-            self.balances_by_month(),
             self.churn_by_month(),
             self.fraud_by_month(),
         )
@@ -401,11 +399,13 @@ class MerchantPipeline:
         return rfm.rfm_values(self.merchant_month_financials(), self.p)
 
     @stage
+    def computed_rfm(self) -> DataFrame:
+        return rfm.rfm_scores(self.rfm_values(), self.p)
+
+    @step
     def rfm_scores(self) -> DataFrame:
         """The precomputed table if there is one, else the scores computed here."""
-        if self.src.rfm is not None:
-            return self.src.rfm
-        return rfm.rfm_scores(self.rfm_values(), self.p)
+        return self.computed_rfm() if self.src.rfm is None else self.src.rfm
 
     @step
     def active_rfm(self) -> DataFrame:

@@ -101,7 +101,10 @@ class Sources:
 
 def write_table(df: DataFrame, table: str, month_column: str | None = None) -> None:
     """Drop-and-recreate sink. With a month column the table is partitioned by it, so
-    that later month filters prune files."""
+    that later month filters prune files; its rows are dealt by month first, so that a
+    month has few files, and large months are split."""
+    if month_column:
+        df = df.hint("rebalance", month_column)
     writer = df.write.mode("overwrite").format("parquet")
     if month_column:
         writer = writer.partitionBy(month_column)

@@ -37,6 +37,43 @@ def test_no_single_partition_or_nested_loop(small, name):
         assert "SinglePartition" not in text
 
 
+class PlannedStore(StageStore):
+    """Keeps the plan of each stage as it is before it is written."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.plans = {}
+
+    def save(self, name, df):
+        self.plans[name] = plan(df)
+        return super().save(name, df)
+
+
+@pytest.fixture(scope="module")
+def planned(spark, small):
+    store = PlannedStore(spark)
+    pipeline = MerchantPipeline(spark, small.src, small.p, store)
+    pipeline.prepare()
+    yield pipeline
+    store.close()
+
+
+@pytest.mark.parametrize("name", MerchantPipeline.stages())
+def test_stages_are_distributed(planned, name):
+    """The plan that builds the stage, not the scan that its readers see."""
+    text = planned.store.plans[name]
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "Python" not in text and "Pandas" not in text
+    assert "SinglePartition" not in text
+
+
+def test_dashboard_reads_the_active_rows_once(planned):
+    text = plan(planned.executive_dashboard())
+    # Active rows, created accounts and their names, milestones, activity and fraud.
+    assert "Window" not in text
+    assert text.count("FileScan") == 6 and len(re.findall("FileScan[^\n]*active_with_fraud", text)) == 1
+
+
 def test_activity_reads_the_base_once(small):
     text = plan(activity.activity_distance(small.merchant_month_base(), small.p))
     assert text.count("FileScan") == 1
