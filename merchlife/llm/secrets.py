@@ -42,6 +42,8 @@ CLASSES = (
     CharClass("entropy16", "0123456789abcdefABCDEF", r"[0-9a-fA-F]{20,}", 3.0),
 )
 ALLOWED = r"^[-_/+=]*([A-Z]?[a-z]+|[A-Z]+)([-_/+=]+([A-Z]?[a-z]+|[A-Z]+))*[-_/+=]*$|^[-_/+=0-9]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|EXAMPLE|^sha(256|384|512)-"
+# The same for Java, which repeats a possessive group in a loop; a greedy one takes stack for each part of a run.
+ALLOWED_JAVA = ALLOWED.replace("([-_/+=]+([A-Z]?[a-z]+|[A-Z]+))*", "([-_/+=]++([A-Z]?[a-z]++|[A-Z]++))*+")
 
 
 def located(text: str, pattern: str) -> Column:
@@ -63,7 +65,8 @@ def high_windows(c: CharClass, run: str, width: int = WIDTH) -> str:
     table = "array(" + ", ".join("0D" if n < 2 else f"{n}D * log2({n}D)" for n in range(width + 2)) + ")"
     empty = "cast(array() as array<struct<low: int, high: int>>)"
     # x: position (from 1), character that enters, character that leaves (0: none)
-    feed = f"transform({codes}, (code, i) -> struct(i + 1 as at, code as enters, if(i >= {width}, element_at({codes}, i + 1 - {width}), 0) as leaves))"
+    # The codes are bound to a name, so that they are made once for the run and not once for each character.
+    feed = f"element_at(transform(array({codes}), codes -> transform(codes, (code, i) -> struct(i + 1 as at, code as enters, if(i >= {width}, element_at(codes, i + 1 - {width}), 0) as leaves))), 1)"
     table_of = lambda count: f"element_at({table}, {count} + 1)"
     came, went = "element_at(s.counts, x.enters)", "element_at(s.counts, x.leaves)"
     total = f"s.total + if(x.enters = x.leaves, 0D, {table_of(came + ' + 1')} - {table_of(came)} + if(x.leaves = 0, 0D, {table_of(f'{went} - 1')} - {table_of(went)}))".replace(went, "element_at(s.counts, greatest(x.leaves, 1))").replace("element_at(s.counts, greatest(x.leaves, 1)) - 1", "greatest(element_at(s.counts, greatest(x.leaves, 1)) - 1, 0)")
@@ -90,7 +93,7 @@ def scan(docs: DataFrame) -> DataFrame:
         _spans("hex", "hex", 3),
     ]
     for rank, c in enumerate(CLASSES, 4):
-        runs = f"filter({c.kind}, h -> not h.hit rlike r'{ALLOWED}')"
+        runs = f"filter({c.kind}, h -> not h.hit rlike r'{ALLOWED_JAVA}')"
         kinds.append(F.expr(f"flatten(transform({runs}, h -> transform({high_windows(c, 'h.hit')}, w -> struct(h.at + w.low as start, {rank} as rank, h.at + w.high as end, '{c.kind}' as kind))))"))
     return row.select("row.*", F.array_sort(F.concat(*kinds)).alias("spans"))
 

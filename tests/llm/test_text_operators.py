@@ -116,6 +116,17 @@ def test_secret_scan(awkward, documents):
     assert secrets.report(documents([])).count() == 0
 
 
+def test_secret_scan_of_long_joined_runs(documents):
+    secret = "k9Xw2pQz7Lm4Vt8Rb3YcJ1hG"
+    words = "Ab-cd_EF/gh+ij=" * 20_000  # 100,000 parts, all of them plain words
+    assert secrets.ALLOWED_JAVA != secrets.ALLOWED
+    texts = ["ab-" * 100_000, words, words + secret, "see " + words + " " + secret, "ab-" * 2_000 + secret + "-ab" * 2_000]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(documents(list(enumerate(texts)))).collect()}
+    assert got[0] == got[1] == ""
+    assert [got[i] for i in (3, 4)] == [secret_spans(texts[i]) for i in (3, 4)]
+    assert got[2].endswith(f":{len(texts[2])}") and len(got) == 5
+
+
 def test_redact(documents):
     rows = {r["doc_id"]: r for r in secrets.redact(documents([(i, t) for i, t in enumerate(SECRETS)] + [(90, None), (91, "plain")])).collect()}
     assert rows[1]["text"] == SECRETS[1]  # its first match fails and takes the second with it
