@@ -2,15 +2,16 @@
 
 The merges of a piece model are replayed by an agenda: the adjacent pair whose joined piece has the
 best score is merged first, the left one among equals. A candidate merge is skipped for good if the
-keyed hash of its place (where it starts, joins and ends), its unit, the seed and the document's
-variant falls below ``dropout``; so one seed gives one segmentation, other seeds and variants
-others, and without dropout the model's own. Text decodes to itself: characters without a piece
+keyed hash of its place (where it starts, joins and ends), its unit, the unit's place in the text,
+the document's id and the seed falls below ``dropout``; so one seed gives one segmentation of a
+document, other seeds and documents others, and without dropout the model's own. The units of a text
+are varied each on its own, the repeats of a unit too. Text decodes to itself: characters without a piece
 become byte pieces, and so does the sign that stands for a space in piece names.
 
-Text falls into units at places that no piece spans; a unit is segmented once for each variant and
-remembered. Short units are segmented side by side, longer ones with a heap; both give the same.
+Text falls into units at places that no piece spans. Without dropout a unit is segmented once and
+remembered; with dropout every occurrence is segmented, as each has skips of its own. Short units are segmented side by side, longer ones with a heap; both give the same.
 
-Defined cases. Null text gives null ids, empty text none. A null doc_id has a variant too. Repeated
+Defined cases. Null text gives null ids, empty text none. A null doc_id counts as one id. Repeated
 rows each get the same ids. Columns besides doc_id and text are passed on or not looked at.
 """
 
@@ -28,13 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from merchlife.llm.bytescan import U64, mix, texts
+from merchlife.llm.bytescan import U64, mix, span_hashes, texts
 from merchlife.llm.bytescan import pieces as cut
 from merchlife.llm.unitmemo import UnitMemo
 
 SPACE = "▁"
 NONE = np.int64(1 << 40)
 WIDE = 40  # characters of units that are segmented side by side
+WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 28, WIDE)  # units of like lengths go together
 _A, _B, _C = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -42,7 +44,6 @@ _A, _B, _C = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 class Dropout:
     rate: float = 0.1
     seed: int = 20240601
-    variants: int = 4
 
 
 class PieceModel:
@@ -113,9 +114,14 @@ class PieceModel:
         keys[(left < 0) | (right < 0)] = U64(2**64 - 2)
         slot = ((keys * U64(_A)) >> self.shift).astype(np.int64)
         rank, into = np.full(keys.shape, NONE), np.zeros(keys.shape, np.int32)
-        for _ in range(self.probes):
-            hit = self.key[slot] == keys
-            rank[hit], into[hit] = self.rank[slot[hit]], self.into[slot[hit]]
+        todo = np.ones(keys.shape, bool)
+        while todo.any():
+            at = slot[todo]
+            found = self.key[at]
+            hit, on = found == keys[todo], todo.copy()
+            on[todo] = hit
+            rank[on], into[on] = self.rank[at[hit]], self.into[at[hit]]
+            todo[todo] = ~hit & (found != U64(2**64 - 1))
             slot += 1
         return rank, into
 
@@ -129,7 +135,7 @@ class PieceModel:
         chars = [u.decode("utf-8") for u in units]
         lengths = np.fromiter(map(len, chars), np.int64, len(chars))
         start, count, pool, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [], 0
-        for low, high in ((0, 5), (5, 8), (8, 12), (12, 20), (20, WIDE), (WIDE, None)):
+        for low, high in (*zip(WIDTHS, WIDTHS[1:], strict=False), (WIDE, None)):
             pick = np.flatnonzero((lengths > low) & (lengths <= (high or len(lengths) and lengths.max())))
             for part in np.array_split(pick, max(1, len(pick) // 20_000)):
                 if not len(part):
@@ -160,8 +166,8 @@ class PieceModel:
 
     def _side_by_side(self, chars: list[str], lengths: np.ndarray, salts: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
         n, wide = len(chars), int(lengths.max())
-        sym = np.full((n, wide), -1, np.int64)
-        place = np.tile(np.arange(wide + 1), (n, 1))
+        sym = np.full((n, wide), -1, np.int32)
+        place = np.tile(np.arange(wide + 1, dtype=np.int32), (n, 1))
         inside = place[:, :wide] < lengths[:, None]
         sym[inside] = self._symbols("".join(chars))
         np.minimum(place, lengths[:, None], out=place)
@@ -275,7 +281,12 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode_column(m: PieceModel, memo: UnitMemo, column: pa.Array, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit_salts(data: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A salt for each unit data[start:end], from its bytes, its place in its text and the salt of its document."""
+    return mix(mix(salt + place.astype(U64) * U64(_A)) + span_hashes(data, start, end))
+
+
+def encode_column(m: PieceModel, memo: UnitMemo, column: pa.Array, salt: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and how many each has. A space goes before each text that is not empty."""
     data, offsets = texts(column)
     n = len(column)
@@ -290,13 +301,18 @@ def encode_column(m: PieceModel, memo: UnitMemo, column: pa.Array, salt: np.ndar
     end = np.append(start[1:], len(flat))
     owner = np.searchsorted(first[some], start, "right") - 1
     rows = np.flatnonzero(some)[owner]
-    ids, counts = memo.ids(flat, start, end, salt[rows])
+    if rate > 0:
+        raw = flat.tobytes()
+        units = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        ids, counts = m.segment(units, unit_salts(flat, start, end, start - first[rows], salt[rows]), rate)
+    else:
+        ids, counts = memo.ids(flat, start, end)
     return ids, np.bincount(rows, weights=counts, minlength=n).astype(np.int64)
 
 
 def _salts(keys: pa.Array, dropout: Dropout) -> np.ndarray:
-    variant = mix(np.asarray(keys.fill_null(0)).astype(np.int64).view(U64) + U64(dropout.seed % 2**64)) % U64(dropout.variants)
-    return mix(variant + U64(dropout.seed * 2654435761 % 2**64))
+    document = mix(np.asarray(keys.fill_null(0)).astype(np.int64).view(U64) + U64(dropout.seed % 2**64))
+    return mix(document + U64(dropout.seed * 2654435761 % 2**64))
 
 
 def encode(docs: DataFrame, path: str, dropout: Dropout = Dropout()) -> DataFrame:
@@ -310,10 +326,10 @@ def encode(docs: DataFrame, path: str, dropout: Dropout = Dropout()) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        memo = UnitMemo(lambda units, salts: m.segment(units, salts, dropout.rate))
+        memo = UnitMemo(lambda units, salts: m.segment(units, salts, 0.0))
         for batch in cut(batches, limit=1 << 20):
             column = batch.column("text")
-            ids, counts = encode_column(m, memo, column, _salts(batch.column("key"), dropout))
+            ids, counts = encode_column(m, memo, column, _salts(batch.column("key"), dropout), dropout.rate)
             back, at = m.decode(ids, counts)
             data, offsets = texts(column)
             if len(back) == len(data) and np.array_equal(at, offsets):

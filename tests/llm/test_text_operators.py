@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -198,6 +199,21 @@ def test_seeds_vary_segmentations(documents):
     assert one == again and one != two and len({tuple(x) for x in one}) > 1
 
 
+def test_units_are_skipped_each_on_its_own(documents):
+    docs = documents([(i, "the " * 3000) for i in range(4)])
+    out = [tuple(r["ids"]) for r in pieces.encode(docs, PIECES).orderBy("doc_id").collect()]
+    own = sentencepiece.SentencePieceProcessor(model_file=PIECES).encode("the")
+    kept = [sum(i == own[0] for i in ids) / 3000 for ids in out]  # each unit is whole or varied by itself
+    assert len(set(out)) == 4 and all(0.1 < k < 0.95 for k in kept) and max(kept) - min(kept) < 0.06
+    data = np.frombuffer("".join(f" {i:05d}" for i in range(5000)).encode(), np.uint8)
+    start = np.arange(5000) * 6
+    for salt in pieces._salts(pa.array(range(8)), pieces.Dropout()):
+        salts = pieces.unit_salts(data, start, start + 6, np.zeros(5000, np.int64), np.full(5000, salt))
+        for a, b, c in ((0, 1, 2), (0, 7, 8), (1, 3, 5)):
+            one = lambda x: np.full(5000, x)
+            assert 0.08 < pieces.PieceModel._skipped(salts, one(a), one(b), one(c), 0.1).mean() < 0.12
+
+
 def test_records(awkward, documents):
     tokenizer = Tokenizer.from_file(WORDS)
     docs = awkward.union(documents([(50, "it's  DON'T x''s 12½ ÀÉ×÷ß µ²"), (51, "<|endoftext|> <| Ça va\x1f"), (52, "İ ǅ")]))
