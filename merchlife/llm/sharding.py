@@ -3,12 +3,15 @@
 Links are memberships of documents in hubs (equal texts; an edge is a hub of two). Linked documents
 start spread evenly. In each round every hub counts its members by shard and names the shard where
 most of it could stand together, given the room there; members propose to go where their strongest
-hub stands; each shard admits proposals up to its free quota, whole hubs first come by hash, the
-last one in part. A hub larger than a shard's share is split beforehand. Documents without links
-are placed last and fill every shard to its quota, so counts differ by one at most, whatever the
-links. Rounds end when nobody moves, or after ``rounds``.
+hub stands. Proposals are counted by source and target shard, and as many are admitted as leave no
+shard above its quota when all of them move at once: places that movers leave count, so full shards
+swap. Within a source and target, hubs come whole by hash. A hub larger than a shard's share is split
+beforehand. Documents without links are placed last and fill every shard to its quota, so counts
+differ by one at most, whatever the links. A round counts if fewer rows stand apart from most of
+their hub after it; after one that does not, half of the hubs try any of their shards. Rounds end
+when no row stands apart, after three rounds without a gain, or after ``rounds`` if given.
 
-Only counts by (hub, shard) and quotas by shard leave the tasks; ranks are made of bucket counts
+Only counts by pair of shards and quotas by shard leave the tasks; ranks are made of bucket counts
 and ranks within small buckets. State is written after each round.
 
 Defined cases. Null text: no link, size 16. Empty texts are equal texts. Null or repeated ids and
@@ -18,11 +21,14 @@ than shards: some shards stay empty.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchlife.llm.storage import Workspace
 
+IDLE = 3  # rounds without a gain after which propagation ends
+
 
 def ranked(df: DataFrame, group: str, order: str, rows: int, name: str = "rank", bucket_rows: int = 4_000) -> DataFrame:
     """``df`` with its rank from 0 within ``group`` by ``order``, a column of well-spread longs; ties in any order.
@@ -37,7 +43,31 @@ def ranked(df: DataFrame, group: str, order: str, rows: int, name: str = "rank",
     return df.withColumn("_inner", inner).join(before, [group, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_inner")).cast("long")).drop("_bucket", "_inner", "_before")
 
 
-def propagate(space: Workspace, rows: DataFrame, members: DataFrame, shards: int, rounds: int = 8) -> DataFrame:
+def admitted(asked: dict[int, int], free: list[int]) -> dict[int, int]:
+    """How many of the ``asked`` moves by way (source * shards + target) go, so that no shard gains more than is ``free``.
+
+    All go at first. A shard with too many refuses some, those first whose source has room to keep them.
+    """
+    shards = len(free)
+    flow = np.zeros((shards, shards), np.int64)
+    for way, n in asked.items():
+        flow[divmod(way, shards)] = n
+    over = flow.sum(0) - flow.sum(1) - np.array(free, np.int64)
+    while (over > 0).any():
+        t = int(over.argmax())
+        need = int(over[t])
+        back = np.minimum(flow[:, t], np.maximum(-over, 0))
+        if back.sum() < need:
+            left = flow[:, t] - back
+            back += np.minimum(left, -(-left * (need - back.sum()) // max(1, left.sum())))
+        back -= np.maximum(0, np.minimum(back, np.cumsum(back) - need))
+        flow[:, t] -= back
+        over += back
+        over[t] -= need
+    return {way: int(flow[divmod(way, shards)]) for way in asked}
+
+
+def propagate(space: Workspace, rows: DataFrame, members: DataFrame, shards: int, rounds: int | None = None) -> DataFrame:
     """(row, shard) for ``rows(row, spot)`` and ``members(row, hub)``; spot: a well-spread long of its own for each row."""
     spark = space.spark
     total = rows.count()
@@ -53,31 +83,39 @@ def propagate(space: Workspace, rows: DataFrame, members: DataFrame, shards: int
     n_linked = linked.count()
     start = ranked(linked.withColumn("all", F.lit(0)), "all", "spot", n_linked)
     labels = space.save(start.select("row", "spot", F.pmod("rank", F.lit(shards)).cast("int").alias("shard")), "labels-0")
-    for step in range(1, rounds + 1):
-        load = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a number for each shard
-        room = F.broadcast(spark.createDataFrame([(s, max(0, quota[s] - load.get(s, 0))) for s in range(shards)], "shard int, room long"))
-        counts = members.join(labels.select("row", "shard"), "row").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+    kept, kept_counts, least, idle, step = labels, None, None, 0, 0
+    while rounds is None or step < rounds:
+        counts = space.save(members.join(labels.select("row", "shard"), "row").groupBy("hub", "shard").agg(F.count("*").alias("n")), f"counts-{step}")
+        apart = counts.groupBy("hub").agg((F.sum("n") - F.max("n")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if least is None or apart < least:
+            kept, kept_counts, least, idle = labels, counts, apart, 0
+        else:
+            idle += 1
+        if not least or idle == IDLE:
+            break
+        step += 1
+        load = {r["shard"]: r["n"] for r in kept.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a number for each shard
+        free = [quota[s] - load.get(s, 0) for s in range(shards)]
+        room = F.broadcast(spark.createDataFrame(list(enumerate(free)), "shard int, room long"))
         together = F.least("size", F.col("n") + F.col("room"))
-        best = counts.join(sizes, "hub").join(room, "shard").groupBy("hub").agg(F.max_by(F.struct("shard", "n"), F.struct(together, F.col("n"), F.xxhash64("hub", "shard"))).alias("best"))
+        chance = F.xxhash64("hub", "shard", F.lit(step))
+        if idle:  # half of the hubs try any of their shards
+            together = F.when(F.pmod(F.xxhash64("hub", F.lit(step)), F.lit(2)) == 0, F.lit(0)).otherwise(together)
+        rule = F.struct(together, F.when(together > 0, F.col("n")).otherwise(0), chance)
+        best = kept_counts.join(sizes, "hub").join(room, "shard").groupBy("hub").agg(F.max_by(F.struct("shard", "n"), rule).alias("best"))
         votes = members.join(best.select("hub", "best.shard", "best.n"), "hub").groupBy("row").agg(F.max(F.struct("n", "hub", "shard")).alias("vote"))
-        moves = labels.join(votes, "row").where(F.col("shard") != F.col("vote.shard")).select("row", "spot", F.col("vote.hub").alias("hub"), F.col("vote.shard").alias("target"))
+        moves = kept.join(votes, "row").where(F.col("shard") != F.col("vote.shard"))
+        moves = moves.select("row", F.xxhash64("vote.hub", F.lit(step)).alias("turn"), (F.col("shard") * shards + F.col("vote.shard")).alias("way"))
         moves = space.save(moves, f"moves-{step}")
-        groups = moves.groupBy("target", "hub").agg(F.count("*").alias("m"))
-        n_groups = max(1, groups.count())
-        bits = max(1, (n_groups // 4_000).bit_length())
-        groups = space.save(groups.withColumn("bucket", F.shiftright("hub", 64 - bits)), f"groups-{step}")
-        heads = groups.groupBy("target", "bucket").agg(F.sum("m").alias("all"))
-        heads = heads.select("target", "bucket", (F.sum("all").over(Window.partitionBy("target").orderBy("bucket")) - F.col("all")).alias("head"))
-        inner = F.sum("m").over(Window.partitionBy("target", "bucket").orderBy("hub").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
-        ordered = groups.withColumn("inner", inner).join(heads, ["target", "bucket"]).withColumn("before", F.col("head") + F.col("inner"))
-        ordered = ordered.join(room.withColumnRenamed("shard", "target"), "target").where("before < room").withColumn("free", F.col("room") - F.col("before"))
-        whole = moves.join(ordered.where("m <= free").select("hub", "target"), ["hub", "target"]).select("row", "target")
-        partial = moves.join(ordered.where("m > free").select("hub", "target", "free"), ["hub", "target"])
-        partial = ranked(partial, "target", "spot", max(quota)).where("rank < free").select("row", "target")
-        accepted = space.save(whole.union(partial), f"accepted-{step}")
-        if accepted.isEmpty():
-            break
-        labels = space.save(labels.join(accepted, "row", "left").select("row", "spot", F.coalesce("target", "shard").alias("shard")), f"labels-{step}")
+        asked = {r["way"]: r["n"] for r in moves.groupBy("way").agg(F.count("*").alias("n")).collect()}  # at most shards * shards numbers
+        let = [(way, n) for way, n in admitted(asked, free).items() if n]
+        if not let:
+            labels = kept
+            continue
+        let = F.broadcast(spark.createDataFrame(let, "way int, let long"))
+        accepted = ranked(moves, "way", "turn", max(asked.values())).join(let, "way").where("rank < let").select("row", F.pmod("way", F.lit(shards)).alias("target"))
+        labels = space.save(kept.join(accepted, "row", "left").select("row", "spot", F.coalesce("target", "shard").alias("shard")), f"labels-{step}")
+    labels = kept if kept_counts is not None else labels
     load = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     ends, sum_ = [], 0
     for s in range(shards):
@@ -90,7 +128,7 @@ def propagate(space: Workspace, rows: DataFrame, members: DataFrame, shards: int
     return labels.select("row", "shard").union(filled)
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, rounds: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard): equal texts are linked; law ``rows``."""
     space = Workspace(docs.sparkSession, "sharding")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")

@@ -114,6 +114,30 @@ def test_shards_are_even_and_groups_whole(documents):
     assert sum(sorted(Counter(at[2000 + i] for i in range(300)).values())[-4:]) >= 200
 
 
+def test_shards_without_free_rows_swap(documents):
+    rows = [(i, f"copy {i // 4}") for i in range(2000)]  # every row has a copy, so no shard has room
+    out = sharding.shard_documents(documents(rows), shards=10).collect()
+    assert set(Counter(r["shard"] for r in out).values()) == {200}
+    groups = defaultdict(set)
+    for r in out:
+        groups[r["doc_id"] // 4].add(r["shard"])
+    assert sum(len(g) > 1 for g in groups.values()) <= 50
+
+
+def test_admitted_moves_keep_quotas():
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randrange(2, 7)
+        asked = {s * n + t: rng.randrange(1, 30) for s in range(n) for t in range(n) if s != t and rng.random() < 0.6}
+        free = [rng.choice([0, 0, 3]) for _ in range(n)]
+        let = sharding.admitted(asked, free)
+        assert all(0 <= let[w] <= asked[w] for w in asked)
+        for t in range(n):
+            assert sum(k for w, k in let.items() if w % n == t) - sum(k for w, k in let.items() if w // n == t) <= free[t]
+    assert sharding.admitted({1: 5, 2: 7}, [0, 0]) == {1: 5, 2: 5}
+    assert sharding.admitted({1: 4, 5: 4, 6: 4}, [0, 0, 0]) == {1: 4, 5: 4, 6: 4}
+
+
 def test_shards_of_awkward_rows(awkward, documents):
     out = sharding.shard_documents(awkward, shards=3).collect()
     assert sorted(Counter(r["shard"] for r in out).values()) == [3, 3, 4]
