@@ -125,6 +125,8 @@ def test_sources_round_trip(spark, small, tmp_path):
             spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(f"t_{name}")
     named = Sources.from_catalog(spark, {n: f"t_{n}" for n in CONTRACTS if n != "rfm"})
     assert named.client_base.count() == small.src.client_base.count()
+    for name in CONTRACTS:
+        spark.catalog.dropTempView(f"t_{name}")
 
 
 def test_sinks_replace(spark, small, tmp_path):

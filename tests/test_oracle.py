@@ -5,8 +5,10 @@ import pytest
 import __spark_entry__ as contract
 from tests.conftest import SMALL
 from verification.compare import difference, duckdb_on
+from verification.oracle import oracle_queries
 
-SQL = contract.oracle_sql()
+SQL = oracle_queries()
+QUERIES = contract.merchant_queries()
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +17,20 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(SQL)
+    assert set(QUERIES) == set(SQL)
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("key", list(contract.queries()))
+@pytest.mark.parametrize("key", list(QUERIES))
 def test_query_equals_sql(spark, con, key):
-    assert difference(contract.queries()[key](spark, SMALL), con, SQL[key]) is None
+    assert difference(QUERIES[key](spark, SMALL), con, SQL[key]) is None
+
+
+def test_queries_without_the_optional_subpackage(monkeypatch):
+    find = contract.find_spec
+    monkeypatch.setattr(contract, "find_spec", lambda name: None if name.startswith("merchlife.llm") else find(name))
+    assert set(contract.queries()) == set(QUERIES)
+    assert contract.oracle_sql() == SQL
 
 
 def test_entry_has_rows(spark):
