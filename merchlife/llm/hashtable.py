@@ -1,0 +1,50 @@
+"""A fixed open-addressing table from 64-bit keys to numbers, looked up for whole arrays."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from merchlife.llm.bytescan import U64
+
+_EMPTY = U64(2**64 - 1)
+_SPREAD = U64(0x9E3779B97F4A7C15)
+
+
+class KeyTable:
+    """Keys are below 2**64 - 1 and distinct; a key that is not there gives ``missing``."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int = -1):
+        bits = max(4, int(len(keys) * 3).bit_length())
+        self.missing = missing
+        self.shift = U64(64 - bits)
+        self.key = np.full((1 << bits) + 64, _EMPTY)
+        self.value = np.full(len(self.key), missing, np.int32)
+        todo, probes = np.arange(len(keys)), 0
+        while len(todo):
+            slot = self._slot(keys[todo]) + probes
+            free = self.key[slot] == _EMPTY
+            slot, mine = slot[free], todo[free]
+            slot, once = np.unique(slot, return_index=True)
+            self.key[slot], self.value[slot] = keys[mine[once]], values[mine[once]]
+            todo = np.setdiff1d(todo, mine[once], assume_unique=True)
+            probes += 1
+        if probes > 64:
+            raise ValueError("the keys cluster more than the table allows for")
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _SPREAD) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        found = self.key[slot]
+        out = self.value[slot]
+        todo = np.flatnonzero((found != keys) & (found != _EMPTY))
+        out[found == _EMPTY] = self.missing
+        while len(todo):
+            slot[todo] += 1
+            found = self.key[slot[todo]]
+            hit, gone = found == keys[todo], found == _EMPTY
+            out[todo[hit]] = self.value[slot[todo[hit]]]
+            out[todo[gone]] = self.missing
+            todo = todo[~hit & ~gone]
+        return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlife.llm import decontam, langid, neardup, permindex, pieces, records, rollups, secrets, sharding, urlfilter
+from merchlife.llm import decontam, langid, mergedfa, neardup, permindex, pieces, records, rollups, secrets, sharding, urlfilter
 from merchlife.llm.storage import Workspace
 
 
@@ -75,6 +75,10 @@ def op10_redirect_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judge(_table(spark, folder, "pages"))
 
 
+def op12_merge_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return mergedfa.digests(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +92,7 @@ QUERIES = {
         op8_language_id,
         op9_token_rollup,
         op10_redirect_equivalence,
+        op12_merge_automaton,
     )
 }
 ORACLES = {"op4_positional_index": decontam.oracle(), "op5_secret_scan": secrets.oracle(), "op10_redirect_equivalence": urlfilter.oracle()}

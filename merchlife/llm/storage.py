@@ -60,3 +60,10 @@ def without(docs: DataFrame, keys: DataFrame, rows: int = 1_000_000) -> DataFram
 def keyed(docs: DataFrame) -> DataFrame:
     """(key, row): rows in a struct, so that no column name can clash."""
     return docs.select(row_key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def replaced(df: DataFrame, columns: list[str], **results: Column) -> DataFrame:
+    """The columns of struct ``row``, then ``results``; a column that has a result's name, in any case, gives way to it."""
+    taken = {name.lower() for name in results}
+    kept = [F.col(f"row.`{c}`").alias(c) for c in columns if c.lower() not in taken]
+    return df.select(*kept, *(c.alias(name) for name, c in results.items()))
