@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlife.llm import decontam, langid, mergedfa, neardup, permindex, pieces, records, rollups, secrets, sharding, urlfilter
+from merchlife.llm import bitplanes, decontam, langid, mergedfa, neardup, permindex, pieces, records, rollups, secrets, sharding, urlfilter
 from merchlife.llm.storage import Workspace
 
 
@@ -79,6 +79,10 @@ def op12_merge_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return mergedfa.digests(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_bitplane_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    return bitplanes.cluster(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +97,12 @@ QUERIES = {
         op9_token_rollup,
         op10_redirect_equivalence,
         op12_merge_automaton,
+        op13_bitplane_kmeans,
     )
 }
-ORACLES = {"op4_positional_index": decontam.oracle(), "op5_secret_scan": secrets.oracle(), "op10_redirect_equivalence": urlfilter.oracle()}
+ORACLES = {
+    "op4_positional_index": decontam.oracle(),
+    "op5_secret_scan": secrets.oracle(),
+    "op10_redirect_equivalence": urlfilter.oracle(),
+    "op13_bitplane_kmeans": bitplanes.oracle(),
+}
