@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlife.llm import bitplanes, decontam, langid, mergedfa, neardup, permindex, pieces, records, rollups, secrets, sharding, urlfilter
+from merchlife.llm import bitplanes, decontam, divergence, langid, mergedfa, neardup, permindex, pieces, records, rollups, secrets, sharding, urlfilter
 from merchlife.llm.storage import Workspace
 
 
@@ -75,6 +75,10 @@ def op10_redirect_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judge(_table(spark, folder, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents"))
+
+
 def op12_merge_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return mergedfa.digests(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -96,6 +100,7 @@ QUERIES = {
         op8_language_id,
         op9_token_rollup,
         op10_redirect_equivalence,
+        op11_source_divergence,
         op12_merge_automaton,
         op13_bitplane_kmeans,
     )
@@ -104,5 +109,6 @@ ORACLES = {
     "op4_positional_index": decontam.oracle(),
     "op5_secret_scan": secrets.oracle(),
     "op10_redirect_equivalence": urlfilter.oracle(),
+    "op11_source_divergence": divergence.oracle(),
     "op13_bitplane_kmeans": bitplanes.oracle(),
 }
