@@ -10,11 +10,11 @@ the number of the last of these merges, and the state it was copied from; the ar
 are one hash table (label, lost label) -> merge. A state has an arc labelled x unless it lost x, or
 lost a left part of x before the merge that made the larger part.
 
-Words are cut as the tokenizer file's pattern does. A word is encoded by running all its places from
-left to right: from each place, the bytes that follow are spelled in a trie of labels, and each label
-that the state there has an arc for fixes label and state at the place where it ends; each place is
-reached by one label only. Short words run side by side, long ones one by one; both are in proportion
-to the length. Decoding emits the bytes of the arc labels.
+Words are cut as the tokenizer file's pattern does. A word is encoded by following arcs from state 0:
+the bytes at a place are spelled in a trie of labels, and of the labels that the state has arcs for the
+longest is taken; where none leads on, the last one is given back for a shorter one. A place is reached
+by one sequence of labels only, so none is entered twice and the time is in proportion to the length.
+Decoding emits the bytes of the arc labels.
 
 Defined cases. Null and empty texts have no ids. The strings of added tokens in a text become their
 ids. Repeated rows each get their result. Columns besides the text are passed on by ``encode`` and
@@ -36,14 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
-from merchlife.llm.bytescan import U64, pieces, texts
-from merchlife.llm.hashtable import KeyTable
+from merchlife.llm.bytescan import pieces, texts
 from merchlife.llm.storage import replaced
 from merchlife.llm.unitmemo import UnitMemo
 
-WIDE = 40  # bytes of words that run side by side
-WIDTHS = (0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 22, 30, WIDE)  # words of like lengths run together
-PART = 256 << 10  # bytes of text looked at together
+ARCS = 200_000  # answers about arcs that a worker remembers
+PART = 512 << 10  # bytes of text looked at together; new words are asked for at once
 
 
 def byte_letters() -> list[str]:
@@ -69,7 +67,9 @@ class MergeAutomaton:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self._compile([(vocab[u], vocab[v], vocab[u + v]) for u, v in merges])
         self._spell(set(vocab.values()) - set(self.added.values()))
-        self.length = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.length_of = [len(b) for b in self.bytes_of]
+        self.longest = max(self.length_of)
+        self.length = np.array(self.length_of, np.int64)
         self.first = np.cumsum(self.length) - self.length
         self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
@@ -97,9 +97,6 @@ class MergeAutomaton:
             self.upto.append(k)
             self.lost[u << 32 | v] = k
             self.target[u] = len(self.owner) - 1
-        self.lost_table = KeyTable(np.array(list(self.lost), U64), np.array(list(self.lost.values()), np.int32), 0)
-        self.born_of, self.left_of, self.target_of = (np.array(x, np.int32) for x in (self.born, self.left, self.target))
-        self.owner_of, self.upto_of, self.base_of = (np.array(x, np.int32) for x in (self.owner, self.upto, self.base))
 
     def has_arc(self, state: int, label: int) -> bool:
         while state > 0:
@@ -112,125 +109,58 @@ class MergeAutomaton:
             state = self.base[state]
         return True
 
-    def have_arcs(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """``has_arc`` for pairs."""
-        out = np.ones(len(state), bool)
-        on = np.flatnonzero(state > 0)
-        state = state[on]
-        while len(on):
-            owner, upto = self.owner_of[state].astype(np.int64), self.upto_of[state]
-            part, until, rows = label[on], upto, np.arange(len(on))
-            bad = np.zeros(len(on), bool)
-            while len(rows):
-                lost = self.lost_table.get((owner[rows] << 32 | part).astype(U64))
-                hit = (lost > 0) & (lost <= until)
-                bad[rows[hit]] = True
-                until, part = np.minimum(upto[rows], self.born_of[part]), self.left_of[part]
-                stay = ~hit & (part >= 0)
-                rows, part, until = rows[stay], part[stay], until[stay]
-            out[on[bad]] = False
-            state = self.base_of[state]
-            stay = ~bad & (state > 0)
-            on, state = on[stay], state[stay]
-        return out
-
     def _spell(self, labels: set[int]) -> None:
-        """The trie of the labels' bytes: (node, byte) -> node, and the label that ends at each node."""
-        self.steps: dict[int, int] = {}
-        ends: list[int] = [-1]
-        for label in labels:
-            node = 0
-            for byte in self.bytes_of[label]:
-                key = node << 8 | byte
-                node = self.steps.setdefault(key, len(ends))
-                if node == len(ends):
-                    ends.append(-1)
-            ends[node] = label
-        self.ends = ends
-        self.end_of = np.array(ends, np.int32)
-        self.step_table = KeyTable(np.array(list(self.steps), U64), np.array(list(self.steps.values()), np.int32))
+        """The trie of the labels' bytes: byte -> (label that ends there or -1, the bytes that follow)."""
+        self.whole = {self.bytes_of[label]: label for label in labels}
+        self.trie: dict = {}
+        for word in sorted(self.whole, key=len):
+            node = self.trie
+            for i, byte in enumerate(word, 1):
+                if byte not in node:
+                    node[byte] = (self.whole.get(word[:i], -1), {})
+                node = node[byte][1]
+        self.known: dict[int, bool] = {}
 
     # Encoding
 
-    def segment(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, one after the other, and how many each has."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        start, count, pool, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
-        for low, high in (*zip(WIDTHS, WIDTHS[1:], strict=False), (WIDE, None)):
-            pick = np.flatnonzero((lengths > low) & (lengths <= high if high else True))
-            for part in np.array_split(pick, max(1, len(pick) // 10_000)):
-                if not len(part):
-                    continue
-                some = [words[i] for i in part.tolist()]
-                if high:
-                    flat, n = self._side_by_side(some, lengths[part])
-                else:
-                    one = [self.run(w) for w in some]
-                    flat, n = np.array([i for o in one for i in o], np.int32), np.array([len(o) for o in one], np.int64)
-                start[part], count[part] = size + np.cumsum(n) - n, n
-                pool.append(flat)
-                size += len(flat)
-        if not pool:
-            return np.empty(0, np.int32), count
-        before = np.cumsum(count) - count
-        return np.concatenate(pool)[np.arange(size) + np.repeat(start - before, count)], count
-
     def run(self, word: bytes) -> list[int]:
-        """One word, place by place."""
-        n = len(word)
-        label, state = [-1] * (n + 1), [0] * (n + 1)
-        steps, ends, known = self.steps, self.ends, {}
-        for p in range(n):
-            node, here = 0, state[p]
-            for q in range(p, n):
-                node = steps.get(node << 8 | word[q])
-                if node is None:
-                    break
-                x = ends[node]
-                if x < 0:
+        """The labels of the one path that spells ``word``."""
+        if word in self.whole:  # state 0 has all arcs
+            return [self.whole[word]]
+        n, size, known = len(word), self.length_of, self.known
+        path, before, tried = [], [], bytearray(n + 1)
+        at, state, todo = 0, 0, None
+        while True:
+            if todo is None:  # the labels spelled from here, the longest last
+                todo, node = [], self.trie
+                for byte in word[at : at + self.longest]:
+                    step = node.get(byte)
+                    if step is None:
+                        break
+                    label, node = step
+                    if label >= 0:
+                        todo.append(label)
+            while todo:
+                label = todo.pop()
+                end = at + size[label]
+                if tried[end]:
                     continue
-                arc = known.get((here, x))
+                arc = known.get(state << 32 | label)
                 if arc is None:
-                    arc = known[here, x] = self.has_arc(here, x)
-                    if len(known) > 100_000:
+                    if len(known) >= ARCS:
                         known.clear()
+                    arc = known[state << 32 | label] = self.has_arc(state, label)
                 if arc:
-                    label[q + 1], state[q + 1] = x, self.target[x]
-        out = []
-        while n:
-            out.append(label[n])
-            n -= len(self.bytes_of[label[n]])
-        return out[::-1]
-
-    def _side_by_side(self, words: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, wide = len(words), int(lengths.max())
-        data = np.zeros((n, wide), np.uint8)
-        data[np.arange(wide)[None] < lengths[:, None]] = np.frombuffer(b"".join(words), np.uint8)
-        label, state = np.full((n, wide + 1), -1, np.int32), np.zeros((n, wide + 1), np.int32)
-        for p in range(wide):
-            rows = np.flatnonzero(lengths > p)
-            node = np.zeros(len(rows), np.int32)
-            for q in range(p, wide):
-                node = self.step_table.get(node.astype(U64) << U64(8) | data[rows, q].astype(U64))
-                alive = node >= 0
-                rows, node = rows[alive], node[alive]
-                if not len(rows):
+                    path.append(label)
+                    if end == n:
+                        return path
+                    tried[end] = 1
+                    before.append((at, state, todo))
+                    at, state, todo = end, self.target[label], None
                     break
-                x = self.end_of[node]
-                at = np.flatnonzero(x >= 0)
-                at = at[self.have_arcs(state[rows[at], p], x[at])]
-                label[rows[at], q + 1], state[rows[at], q + 1] = x[at], self.target_of[x[at]]
-                longer = lengths[rows] > q + 1
-                rows, node = rows[longer], node[longer]
-        rows, place, found = np.arange(n), lengths.copy(), []
-        while len(rows):  # labels from the last to the first
-            x = label[rows, place[rows]]
-            found.append((rows, place[rows], x))
-            place[rows] -= self.length[x]
-            rows = rows[place[rows] > 0]
-        row, at, ids = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((at, row))
-        return ids[order].astype(np.int32), np.bincount(row, minlength=n).astype(np.int64)
+            else:
+                path.pop()
+                at, state, todo = before.pop()
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all rows, the labels of their arcs, and where each starts (one more entry than rows)."""
@@ -319,17 +249,13 @@ class Coder:
         self.automaton = MergeAutomaton(path)
         self.cutter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.special = {name.encode(): i for name, i in self.automaton.added.items()}
-        self.memo = UnitMemo(lambda units, _: self._ids(units), limit=200_000)
-
-    def _ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        given = {i: self.special[u] for i, u in enumerate(units) if u in self.special} if self.special else {}
-        if not given:
-            return self.automaton.segment(units)
-        ids, counts = self.automaton.segment([b"" if i in given else u for i, u in enumerate(units)])
-        starts = np.cumsum(counts) - counts
-        at = np.array(sorted(given), np.int64)
-        counts[at] = 1
-        return np.insert(ids, starts[at], [given[i] for i in at.tolist()]), counts
+        self.memo = UnitMemo(lambda units, _: self._ids(units), limit=600_000)
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has."""
+        run, special = self.automaton.run, self.special
+        found = [[special[w]] if w in special else run(w) for w in words]
+        return np.array([x for ids in found for x in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
 
     def _cut_whole(self, text: str) -> list[int]:
         """Lengths in bytes of the words of one text, by the library's own pattern; added tokens are words."""

@@ -43,18 +43,6 @@ def test_ids_are_the_librarys(coder, library):
     assert texts_of(coder, column) == want
 
 
-def test_arcs_of_arrays_and_words_in_turn(coder):
-    auto = coder.automaton
-    rng = np.random.default_rng(3)
-    left, right = rng.integers(0, 50256, 20000), rng.integers(0, 300, 20000)
-    state = auto.target_of[left]
-    assert auto.have_arcs(state, right).tolist() == [auto.has_arc(s, x) for s, x in zip(state.tolist(), right.tolist(), strict=True)]
-    words = ["".join(random.Random(i).choice("etaoinsh rdlu") for _ in range(i % 39 + 1)).encode() for i in range(400)]
-    ids, counts = auto.segment(words)
-    assert ids.tolist() == [x for w in words for x in auto.run(w)]
-    assert counts.tolist() == [len(auto.run(w)) for w in words]
-
-
 def merged(word, merges):
     parts = list(word)
     for u, v in merges:
