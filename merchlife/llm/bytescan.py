@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
-SEGMENT = 1 << 20  # bytes looked at together; a longer single span is taken whole
+PART = 256 << 10  # bytes of text that operators look at together
+SEGMENT = 1 << 18  # bytes looked at together; a longer single span is taken whole
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
 
@@ -66,7 +68,15 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[: offsets[-1]], offsets
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Hand freed memory back to the system; a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PART) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about ``limit`` bytes of text, or one longer text."""
     for batch in batches:
         sizes = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(column).fill_null("")), dtype=np.int64)) if len(batch) else []
@@ -76,6 +86,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             j = max(i + 1, int(np.searchsorted(sizes, below + limit, "right")))
             yield batch.slice(i, j - i)
             i = j
+    release()
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,10 +9,12 @@ are varied each on its own, the repeats of a unit too. Text decodes to itself: c
 become byte pieces, and so does the sign that stands for a space in piece names.
 
 Text falls into units at places that no piece spans. Without dropout a unit is segmented once and
-remembered; with dropout every occurrence is segmented, as each has skips of its own. Short units are segmented side by side, longer ones with a heap; both give the same.
+remembered; with dropout every occurrence is segmented, as each has skips of its own. Short units are
+segmented side by side, as linked lists in arrays; longer ones with a heap; both give the same.
 
 Defined cases. Null text gives null ids, empty text none. A null doc_id counts as one id. Repeated
-rows each get the same ids. Columns besides doc_id and text are passed on or not looked at.
+rows each get the same ids. Columns besides doc_id and text are passed on; those with the name of a
+result column, in any case, give way to it.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ from pyspark.sql import types as T
 
 from merchlife.llm.bytescan import U64, mix, span_hashes, texts
 from merchlife.llm.bytescan import pieces as cut
+from merchlife.llm.storage import replaced
 from merchlife.llm.unitmemo import UnitMemo
 
 SPACE = "▁"
-NONE = np.int64(1 << 40)
+NONE = np.int32(1 << 30)  # the rank of pairs that do not join
 WIDE = 40  # characters of units that are segmented side by side
 WIDTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 28, WIDE)  # units of like lengths go together
 _A, _B, _C = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -93,7 +96,7 @@ class PieceModel:
         bits = max(4, int(len(self.joins) * 4).bit_length())
         self.shift = U64(64 - bits)
         keys = np.array([left << 32 | right for left, right in self.joins], U64)
-        rank = np.array([r for r, _ in self.joins.values()], np.int64)
+        rank = np.array([r for r, _ in self.joins.values()], np.int32)
         into = np.array([i for _, i in self.joins.values()], np.int32)
         self.key = np.full((1 << bits) + 64, U64(2**64 - 1))
         self.rank, self.into = np.full(len(self.key), NONE), np.zeros(len(self.key), np.int32)
@@ -113,16 +116,18 @@ class PieceModel:
         keys = left.astype(np.int64).astype(U64) << U64(32) | right.astype(np.int64).astype(U64)
         keys[(left < 0) | (right < 0)] = U64(2**64 - 2)
         slot = ((keys * U64(_A)) >> self.shift).astype(np.int64)
-        rank, into = np.full(keys.shape, NONE), np.zeros(keys.shape, np.int32)
-        todo = np.ones(keys.shape, bool)
-        while todo.any():
+        found = self.key[slot]
+        rank, into = self.rank[slot], self.into[slot]
+        rank[found != keys] = NONE
+        todo = np.flatnonzero((found != keys) & (found != U64(2**64 - 1)))
+        while len(todo):
+            slot[todo] += 1
             at = slot[todo]
             found = self.key[at]
-            hit, on = found == keys[todo], todo.copy()
-            on[todo] = hit
+            hit = found == keys[todo]
+            on = todo[hit]
             rank[on], into[on] = self.rank[at[hit]], self.into[at[hit]]
-            todo[todo] = ~hit & (found != U64(2**64 - 1))
-            slot += 1
+            todo = todo[~hit & (found != U64(2**64 - 1))]
         return rank, into
 
     def boundaries(self, data: np.ndarray) -> np.ndarray:
@@ -130,29 +135,33 @@ class PieceModel:
         inner = (data[1:] & 0xC0) == 0x80
         return np.flatnonzero(~inner & ~self.spans[data[:-1], data[1:]]) + 1
 
-    def segment(self, units: list[bytes], salts: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units, one after the other, and how many each has."""
-        chars = [u.decode("utf-8") for u in units]
-        lengths = np.fromiter(map(len, chars), np.int64, len(chars))
-        start, count, pool, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [], 0
+    def segment(self, text: str, start: np.ndarray, end: np.ndarray, salts: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units text[start:end], one after the other, and how many each has."""
+        symbols, lengths = self._symbols(text), end - start
+        first, count, pool, size = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), [], 0
         for low, high in (*zip(WIDTHS, WIDTHS[1:], strict=False), (WIDE, None)):
-            pick = np.flatnonzero((lengths > low) & (lengths <= (high or len(lengths) and lengths.max())))
+            pick = np.flatnonzero((lengths > low) & (lengths <= high if high else True))
             for part in np.array_split(pick, max(1, len(pick) // 20_000)):
                 if not len(part):
                     continue
-                some = [chars[i] for i in part.tolist()]
                 if high:
-                    flat, n = self._side_by_side(some, lengths[part], salts[part], rate)
+                    flat, n = self._side_by_side(text, symbols, start[part], lengths[part], salts[part], rate)
                 else:
-                    one = [self.agenda(c, x, rate) for c, x in zip(some, salts[part].tolist(), strict=True)]
+                    one = [self.agenda(text[a:b], x, rate) for a, b, x in zip(start[part].tolist(), end[part].tolist(), salts[part].tolist(), strict=True)]
                     flat, n = np.array([i for o in one for i in o], np.int32), np.array([len(o) for o in one], np.int64)
-                start[part], count[part] = size + np.cumsum(n) - n, n
+                first[part], count[part] = size + np.cumsum(n) - n, n
                 pool.append(flat)
                 size += len(flat)
         if not pool:
             return np.empty(0, np.int32), count
         before = np.cumsum(count) - count
-        return np.concatenate(pool)[np.arange(size) + np.repeat(start - before, count)], count
+        return np.concatenate(pool)[np.arange(size) + np.repeat(first - before, count)], count
+
+    def segment_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of separate units without dropout."""
+        chars = [u.decode("utf-8") for u in units]
+        end = np.cumsum(np.fromiter(map(len, chars), np.int64, len(chars)))
+        return self.segment("".join(chars), np.concatenate([[0], end[:-1]]), end, np.zeros(len(chars), U64), 0.0)
 
     def _spelled(self, symbols: list[int], char_at: list[str]) -> list[int]:
         """Symbols without an id as byte pieces."""
@@ -164,60 +173,63 @@ class PieceModel:
                 out.extend(self.byte_id[b] for b in text.encode())
         return out
 
-    def _side_by_side(self, chars: list[str], lengths: np.ndarray, salts: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        n, wide = len(chars), int(lengths.max())
-        sym = np.full((n, wide), -1, np.int32)
-        place = np.tile(np.arange(wide + 1, dtype=np.int32), (n, 1))
-        inside = place[:, :wide] < lengths[:, None]
-        sym[inside] = self._symbols("".join(chars))
-        np.minimum(place, lengths[:, None], out=place)
-        count = lengths.copy()
-        rank, into = self.lookup(sym[:, :-1], sym[:, 1:]) if wide > 1 else (np.full((n, 1), NONE), np.zeros((n, 1), np.int32))
-        if rate > 0 and wide > 1:
-            rank[self._skipped(salts[:, None], place[:, :-2], place[:, 1:-1], place[:, 2:], rate)] = NONE
-        rows = np.arange(n)
-        columns = np.arange(wide)
-        while wide > 1:
-            best = rank[rows].argmin(1)
-            on = rank[rows, best] < NONE
+    def _side_by_side(self, text: str, symbols: np.ndarray, start: np.ndarray, lengths: np.ndarray, salts: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """Units as rows of linked lists: a place is a character, or the piece that starts there if it is alive."""
+        n, wide = len(start), int(lengths.max()) + 1  # a place more, for the end
+        alive = np.arange(wide, dtype=np.int32)[None] < lengths[:, None]
+        inside = np.flatnonzero(alive)
+        alive = alive.reshape(-1)
+        row = np.repeat(np.arange(n, dtype=np.int64), lengths)
+        sym = np.full(n * wide, -1, np.int32)
+        sym[inside] = symbols[np.arange(len(inside)) + np.repeat(start - np.cumsum(lengths) + lengths, lengths)]
+        after = np.tile(np.arange(1, wide + 1, dtype=np.int32), n)
+        before = np.tile(np.arange(-1, wide - 1, dtype=np.int32), n)
+        rank, into = np.full(n * wide, NONE), np.zeros(n * wide, np.int32)
+
+        def offer(left: np.ndarray, right: np.ndarray, row: np.ndarray) -> None:
+            r, t = self.lookup(sym[left], sym[right])
+            if rate > 0:
+                on = np.flatnonzero(r < NONE)
+                a, b, base = left[on], right[on], row[on] * wide
+                r[on[self._skipped(salts[row[on]], a - base, b - base, after[b], rate)]] = NONE
+            rank[left], into[left] = r, t
+
+        pairs = inside[inside - row * wide < lengths[row] - 1]
+        offer(pairs, pairs + 1, pairs // wide)
+        rows, table = np.arange(n), rank.reshape(n, wide)
+        while True:
+            best = table[rows].argmin(1) if len(rows) < n else table.argmin(1)
+            on = rank[rows * wide + best] < NONE
             rows, best = rows[on], best[on]
             if not len(rows):
                 break
-            sym[rows, best] = into[rows, best]
-            back = columns[None, :] > best[:, None]
-            s, p, r, t = sym[rows], place[rows], rank[rows], into[rows]
-            s[:, :-1] = np.where(back[:, :-1], s[:, 1:], s[:, :-1])
-            s[:, -1] = -1
-            p[:, 1:-1] = np.where(back[:, 1:] | (columns[1:][None, :] > best[:, None]), p[:, 2:], p[:, 1:-1])
-            r[:, :-1] = np.where(back[:, : r.shape[1] - 1], r[:, 1:], r[:, :-1])
-            t[:, :-1] = np.where(back[:, : t.shape[1] - 1], t[:, 1:], t[:, :-1])
-            r[:, -1] = NONE
-            count[rows] -= 1
-            at = np.arange(len(rows))
-            for left in (best - 1, best):
-                ok = (left >= 0) & (left + 1 < count[rows])
-                a, c = at[ok], left[ok]
-                nr, nt = self.lookup(s[a, c], s[a, c + 1])
-                if rate > 0:
-                    nr[self._skipped(salts[rows[ok]], p[a, c], p[a, c + 1], p[a, c + 2], rate)] = NONE
-                r[a, c], t[a, c] = nr, nt
-                gone = (left >= 0) & (left + 1 >= count[rows]) & (left < r.shape[1])
-                r[at[gone], left[gone]] = NONE
-            sym[rows], place[rows], rank[rows], into[rows] = s, p, r, t
-        used = columns[None, :] < count[:, None]
-        odd = (used & ((sym < 0) | (sym >= self.size))).any(1)
+            base = rows * wide
+            left = base + best
+            gone = base + after[left]
+            right = base + after[gone]
+            sym[left], after[left], before[right] = into[left], after[gone], best
+            rank[gone], rank[left], alive[gone] = NONE, NONE, False
+            ahead = after[left] < lengths[rows]  # another piece follows
+            behind = before[left] >= 0
+            offer(np.concatenate([left[ahead], (base + before[left])[behind]]), np.concatenate([right[ahead], left[behind]]), np.concatenate([rows[ahead], rows[behind]]))
+        count = alive.reshape(n, wide).sum(1)
+        out = sym[alive]
+        odd = (out < 0) | (out >= self.size)
         if not odd.any():
-            return sym[used].astype(np.int32), count
-        rows = [sym[i, : count[i]].astype(np.int32) for i in range(n)]
+            return out, count
+        pieces_of: list[list[int]] = [[i] for i in out.tolist()]
+        at = np.flatnonzero(alive)
+        owner = at // wide
         for i in np.flatnonzero(odd).tolist():
-            ends = place[i].tolist()
-            rows[i] = np.array(self._spelled(sym[i, : count[i]].tolist(), [chars[i][ends[j] : ends[j + 1]] for j in range(count[i])]), np.int32)
-        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+            low = int(start[owner[i]] + at[i] - owner[i] * wide)
+            pieces_of[i] = [int(self.byte_id[b]) for b in text[low : low + int(after[at[i]] - at[i] + owner[i] * wide)].encode()]
+        sizes = np.fromiter(map(len, pieces_of), np.int64, len(pieces_of))
+        return np.array([x for p in pieces_of for x in p], np.int32), np.bincount(owner, weights=sizes, minlength=n).astype(np.int64)
 
     def _symbols(self, text: str) -> np.ndarray:
         """The symbol of each character, -1 where there is none."""
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        symbols = self.of_code[np.minimum(codes, 0xFFFF)].astype(np.int64)
+        symbols = self.of_code[np.minimum(codes, 0xFFFF)]
         for i in np.flatnonzero(codes >= 0xFFFF).tolist():
             symbols[i] = self.symbol.get(text[i], -1)
         return symbols
@@ -302,9 +314,10 @@ def encode_column(m: PieceModel, memo: UnitMemo, column: pa.Array, salt: np.ndar
     owner = np.searchsorted(first[some], start, "right") - 1
     rows = np.flatnonzero(some)[owner]
     if rate > 0:
-        raw = flat.tobytes()
-        units = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        ids, counts = m.segment(units, unit_salts(flat, start, end, start - first[rows], salt[rows]), rate)
+        chars = np.cumsum((flat & 0xC0) != 0x80)  # characters up to each byte
+        stop = chars[end - 1]
+        salts = unit_salts(flat, start, end, start - first[rows], salt[rows])
+        ids, counts = m.segment(flat.tobytes().decode("utf-8"), np.concatenate([[0], stop[:-1]]), stop, salts, rate)
     else:
         ids, counts = memo.ids(flat, start, end)
     return ids, np.bincount(rows, weights=counts, minlength=n).astype(np.int64)
@@ -316,18 +329,15 @@ def _salts(keys: pa.Array, dropout: Dropout) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, dropout: Dropout = Dropout()) -> DataFrame:
-    """``docs`` with ``ids`` (array of int), ``n_pieces`` and ``lossless`` (the ids decode to the text)."""
-    taken = {"ids", "n_pieces", "lossless"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"the input has columns named {sorted(taken)}")
+    """``docs`` with ``ids`` (array of int), ``n_pieces`` and ``lossless`` (the ids decode to the text); columns of these names give way."""
     kept = [c for c in docs.columns if c != "text"]
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), "text", key_of().alias("key"))
     schema = T.StructType([row.schema["row"], T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        memo = UnitMemo(lambda units, salts: m.segment(units, salts, 0.0))
-        for batch in cut(batches, limit=1 << 20):
+        memo = UnitMemo(lambda units, _: m.segment_units(units))
+        for batch in cut(batches):
             column = batch.column("text")
             ids, counts = encode_column(m, memo, column, _salts(batch.column("key"), dropout), dropout.rate)
             back, at = m.decode(ids, counts)
@@ -344,7 +354,8 @@ def encode(docs: DataFrame, path: str, dropout: Dropout = Dropout()) -> DataFram
             yield pa.record_batch([batch.column("row"), column, lists, pa.array(counts), pa.array(same)], names=["row", "text", "ids", "n_pieces", "lossless"])
 
     out = row.mapInArrow(run, schema)
-    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns), "ids", "n_pieces", "lossless")
+    results = ("ids", "n_pieces", "lossless")
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in results), *results)
 
 
 def key_of() -> Column:
@@ -352,9 +363,7 @@ def key_of() -> Column:
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``rows`` with ``text`` made from column ``ids``; null ids give null."""
-    if "text" in rows.columns:
-        raise ValueError("the input has a column named text")
+    """``rows`` with ``text`` made from column ``ids``; null ids give null. A column named text gives way."""
     row = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(ids).alias("ids"))
     schema = T.StructType([row.schema["row"], T.StructField("text", T.StringType())])
 
@@ -367,4 +376,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             made = [None if null else data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace") for i, null in enumerate(column.is_null().to_pylist())]
             yield pa.record_batch([batch.column("row"), pa.array(made, pa.string())], names=["row", "text"])
 
-    return row.mapInArrow(run, schema).select("row.*", "text")
+    return replaced(row.mapInArrow(run, schema), rows.columns, text=F.col("text"))

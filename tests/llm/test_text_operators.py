@@ -171,6 +171,14 @@ def test_pieces_round_trip(awkward, documents):
     assert pieces.encode(documents([]), PIECES).count() == 0
 
 
+def test_pieces_of_rows_with_clashing_columns(awkward):
+    rows = awkward.selectExpr("*", "1 as IDS", "2 as n_pieces", "3 as `row`", "4 as lossless")
+    out = pieces.encode(rows, PIECES)
+    assert out.columns == [*awkward.columns, "row", "ids", "n_pieces", "lossless"]
+    back = pieces.decode(out.drop("text").withColumnRenamed("doc_id", "Text"), PIECES)
+    assert back.columns == [*awkward.columns[2:], "row", "ids", "n_pieces", "lossless", "text"] and back.count() == 10
+
+
 def test_pieces_without_dropout_are_the_models(awkward):
     own = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for r in pieces.encode(awkward, PIECES, pieces.Dropout(rate=0.0)).collect():
@@ -186,8 +194,9 @@ def test_side_by_side_equals_agenda(text, salt, rate):
     m = pieces.model(PIECES)
     text = text.encode("utf-8", "ignore").decode() or "a"
     salts = mix(np.array([salt], U64))
-    flat, _ = m._side_by_side([text], np.array([len(text)]), salts, rate)
-    assert flat.tolist() == [int(i) for i in m.agenda(text, int(salts[0]), rate)]
+    flat, n = m._side_by_side("x" + text, m._symbols("x" + text), np.array([1, 0]), np.array([len(text), 1]), np.repeat(salts, 2), rate)
+    assert flat[: n[0]].tolist() == [int(i) for i in m.agenda(text, int(salts[0]), rate)] and flat[n[0] :].tolist() == [m.symbol["x"]]
+    flat = flat[: n[0]]
     data, _ = m.decode(np.concatenate([[m.symbol[" "]], flat]).astype(np.int64), np.array([len(flat) + 1]))
     assert data.tobytes().decode() == text
 
