@@ -1,10 +1,12 @@
 """URL decisions with redirect equivalence.
 
 A rule (host, path prefix) fits its host and all subdomains; the longest that fits decides. URLs
-that lead to one another are aliases: connected components over redirects, over canonical links and
+that lead to one another are aliases: connected components over redirects, over all canonical links and
 refreshes found in pages, and over the normal form of a URL (no scheme, ``www.``, default port,
-trailing slash, fragment or utm parameters). A URL with a rule has that rule's verdict. One without
-is blocked if its component holds a blocked URL and no allowed one: an explicit allow takes precedence.
+trailing slash, fragment or utm parameters). Links are resolved against their page's URL as RFC 3986
+says. A URL with a rule has that rule's verdict; so has a URL that only a link or redirect names. One
+without is blocked if its component holds a blocked URL and no allowed one: an explicit allow takes
+precedence.
 
 Only DataFrame and SQL functions. Rules are joined on host suffixes, so their number does not matter.
 
@@ -29,12 +31,12 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 QUERY = r"(?s)^[^?#]*\?([^#]*)"
-# Links in a page, either order of the attributes.
-LINKS = (
-    r"(?is)<link\b[^>]*\brel\s*=\s*[\x22\x27]?canonical[\x22\x27]?[^>]*?\bhref\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)",
-    r"(?is)<link\b[^>]*?\bhref\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)[^>]*\brel\s*=\s*[\x22\x27]?canonical\b",
-    r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\x22\x27]?refresh\b[^>]*\burl\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)",
-)
+# Tags that may hold a link, and their attributes; raw angle brackets are in no URL.
+TAG = r"(?i)<(?:link|meta)\b[^<>]*>"
+ATTRIBUTE = r"(?is)[\s\x22\x27/]{}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"
+REFRESH = r"(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*[\x22\x27]?([^\x22\x27]*)"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+ORIGIN = r"(?s)^(.*?://[^/?#]*)"
 
 
 def host_of(url: str = "url") -> Column:
@@ -66,12 +68,41 @@ def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return split.join(best, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
 
 
+def attribute(tag: str, name: str) -> Column:
+    """The value of an attribute in a tag, '' if it has none."""
+    return F.trim(F.concat(*(F.regexp_extract(tag, ATTRIBUTE.format(name), i) for i in (1, 2, 3))))
+
+
+def without_dots(path: str) -> Column:
+    """RFC 3986, 5.2.4, for a path that starts with a slash."""
+    ends = f"if({path} rlike '(^|/)[.]{{1,2}}$', concat({path}, '/'), {path})"
+    step = "case when x = '.' then s when x = '..' then slice(s, 1, greatest(size(s) - 1, 1)) else concat(s, array(x)) end"
+    plain = f"array_join(aggregate(slice(split({ends}, '/', -1), 2, length({ends})), array(''), (s, x) -> {step}), '/')"
+    return F.expr(f"if({path} rlike '/[.]{{1,2}}(/|$)', {plain}, {path})")
+
+
+def resolved(base: str, link: str) -> Column:
+    """The URL that ``link`` names in a page with URL ``base``; null if that is none or the page itself."""
+    origin, path = f"regexp_extract({base}, r'{ORIGIN}', 1)", f"regexp_extract({base}, r'{PATH}', 1)"
+    head = f"regexp_extract({link}, r'(?s)^([^?#]*)', 1)"
+    rest = f"substring({link}, length({head}) + 1)"
+    folder = f"regexp_extract({path}, r'(?s)^(.*/)', 1)"
+    whole = f"case when startswith({link}, '/') then {head} when {folder} = '' then concat('/', {head}) else concat({folder}, {head}) end"
+    own = F.when(F.expr(f"startswith({link}, '?')"), F.expr(f"concat({origin}, {path}, {link})"))
+    own = own.when(F.expr(f"{link} = '' or startswith({link}, '#')"), F.lit(None).cast("string"))
+    own = own.when(F.expr(f"startswith({link}, '//')"), F.expr(f"concat(regexp_extract({base}, r'(?s)^(.*?:)//', 1), {link})"))
+    own = own.when(F.expr(f"{link} rlike r'{SCHEME}'"), F.when(F.expr(f"{link} like '%://%'"), F.expr(link)))
+    return own.otherwise(F.concat(F.expr(origin), without_dots(f"({whole})"), F.expr(rest)))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): normal forms of a page's URL and of the URLs its canonical links and refreshes name."""
-    found = pages.select("url", F.explode(F.array(*(F.regexp_extract("html", link, 1) for link in LINKS))).alias("to")).where("to <> '' and url is not null")
-    origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    to = F.when(F.col("to").startswith("/") & ~F.col("to").startswith("//"), F.concat(origin, F.col("to"))).otherwise(F.col("to"))
-    return found.withColumn("to", to).select(normal_form("url").alias("a"), normal_form("to").alias("b"))
+    """(url, target): each page's URL and the URLs that its canonical links and refreshes name."""
+    tags = pages.where("url like '%://%'").select("url", F.explode(F.expr(f"regexp_extract_all(html, r'{TAG}', 0)")).alias("tag")).distinct()
+    canonical = F.concat(F.lit(" "), F.lower(F.regexp_replace(attribute("tag", "rel"), r"\s+", " ")), F.lit(" ")).contains(" canonical ")
+    refresh = F.lower(attribute("tag", "http-equiv")) == "refresh"
+    named = tags.select("url", F.when(F.lower(F.substring("tag", 2, 4)) == "link", F.when(canonical, attribute("tag", "href"))).otherwise(F.when(refresh, F.trim(F.regexp_extract(attribute("tag", "content"), REFRESH, 1)))).alias("link"))
+    named = named.where("link is not null").withColumn("link", F.regexp_replace("link", "(?i)&amp;", "&"))
+    return named.select("url", resolved("url", "link").alias("target")).where("target is not null").distinct()
 
 
 def judge(pages: DataFrame, rules: DataFrame | None = None, redirects: DataFrame | None = None) -> DataFrame:
@@ -79,8 +110,9 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, redirects: DataFrame
     spark = pages.sparkSession
     space = Workspace(spark, "urlfilter")
     rules = spark.createDataFrame(list(RULES), "verdict string, host string, path string") if rules is None else rules
-    edges = page_links(pages.select("url", "html"))
-    known = pages.select("url")
+    links = space.save(page_links(pages.select("url", "html")), "links")
+    edges = links.select(normal_form("url").alias("a"), normal_form("target").alias("b"))
+    known = pages.select("url").union(links.select("target"))
     if redirects is not None:
         edges = edges.union(redirects.select(normal_form("source"), normal_form("target")))
         known = known.union(redirects.select("source")).union(redirects.select("target"))
@@ -103,15 +135,30 @@ def oracle() -> str:
     query = lambda u: f"regexp_replace(regexp_replace(regexp_extract({u}, '{QUERY}', 1), '(^|&)utm_[^&]*', '', 'g'), '^&+', '')"
     normal = lambda u: rf"case when contains({u}, '://') then regexp_replace({host(u)}, '^www\.|:(80|443)$', '', 'g') || regexp_replace({path(u)}, '/+$', '') || case when {query(u)} <> '' then '?' || {query(u)} else '' end end"
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-    links = ", ".join(f"regexp_extract(html, '{x}', 1)" for x in LINKS)
+    attr = lambda name: "trim(" + " || ".join(f"regexp_extract(tag, '{ATTRIBUTE.format(name)}', {i})" for i in (1, 2, 3)) + ")"
+    origin = f"regexp_extract(url, '{ORIGIN}', 1)"
+    head, folder = "regexp_extract(link, '(?s)^([^?#]*)', 1)", f"regexp_extract({path('url')}, '(?s)^(.*/)', 1)"
     return f"""
 with recursive rules(verdict, rule_host, rule_path) as (values {rules}),
-urls as (select url, {host("url")} as host, {path("url")} as path, {normal("url")} as node from (select distinct url from pages where url is not null)),
+tags as (select distinct url, unnest(regexp_extract_all(html, '{TAG}')) as tag from pages where contains(url, '://')),
+named as (select url, regexp_replace(case when lower(tag[2:5]) = 'link' then case when contains(' ' || lower(regexp_replace({attr("rel")}, '\\s+', ' ', 'g')) || ' ', ' canonical ') then {attr("href")} end
+    when lower({attr("http-equiv")}) = 'refresh' then trim(regexp_extract({attr("content")}, '{REFRESH}', 1)) end, '(?i)&amp;', '&', 'g') as link from tags),
+split as (select distinct url, link, case when link is null or link = '' or starts_with(link, '#') then null
+    when starts_with(link, '?') then {origin} || {path("url")} || link
+    when starts_with(link, '//') then regexp_extract(url, '(?s)^(.*?:)//', 1) || link
+    when regexp_matches(link, '{SCHEME}') then case when contains(link, '://') then link end end as whole,
+  case when starts_with(link, '/') then {head} when {folder} = '' then '/' || {head} else {folder} || {head} end as joined from named),
+dotted as (select *, whole is null and link <> '' and not starts_with(link, '#') and not regexp_matches(link, '{SCHEME}') as relative,
+  case when regexp_matches(joined, '(^|/)[.]{{1,2}}$') then joined || '/' else joined end as ended from split),
+undotted(url, link, whole, relative, left_, done) as (
+  select url, link, whole, relative, case when regexp_matches(joined, '/[.]{{1,2}}(/|$)') then str_split(ended, '/')[2:] else str_split(joined, '/')[2:] end, ['']::varchar[] from dotted
+  union all select url, link, whole, relative, left_[2:], case left_[1] when '.' then done when '..' then done[1:greatest(len(done) - 1, 1)] else list_append(done, left_[1]) end
+  from undotted where len(left_) > 0),
+targets as (select distinct url, case when relative then {origin} || array_to_string(done, '/') || substr(link, length({head}) + 1) else whole end as target from undotted where len(left_) = 0),
+edges as (select {normal("url")} as a, {normal("target")} as b from targets where target is not null),
+urls as (select url, {host("url")} as host, {path("url")} as path, {normal("url")} as node from (select url from pages where url is not null union select target from targets where target is not null)),
 fits as (select url, rule_host || rule_path as rule, verdict, row_number() over (partition by url order by length(rule_host || rule_path) desc, length(rule_host) desc) as n
   from urls join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)),
-named as (select url, case when starts_with(t, '/') and not starts_with(t, '//') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t else t end as t
-  from (select url, unnest([{links}]) as t from pages where url is not null) where t <> ''),
-edges as (select {normal("url")} as a, {normal("t")} as b from named),
 pairs as (select a, b from edges where a is not null and b is not null union select b, a from edges where a is not null and b is not null),
 reach(a, b) as (select node, node from urls where node is not null union select r.a, e.b from reach r join pairs e on r.b = e.a),
 parts as (select a as node, min(b) as part from reach group by a),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from merchlife.llm import neardup, permindex, rollups, sharding, urlfilter
+from merchlife.llm import neardup, permindex, sharding
 from merchlife.llm.components import connected_components
 from merchlife.llm.storage import Workspace
 
@@ -183,54 +183,6 @@ def test_footrule_from_inverted_files():
             assert distance == 8 * 9 - 2 * gain[i, j]
 
 
-def test_rollup(spark, tmp_path):
-    rollup = rollups.Rollup(spark, f"file://{tmp_path}/totals")
-    schema = rollups.EVENT
-    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
-    assert rollup.totals().count() == 0
-    first = batch((1, "v1", "insert", "a", "en", 10, 0), (2, "v1", "insert", "a", "en", 5, 0), (3, "v1", "insert", None, None, None, 0), (None, "v1", "insert", "b", "en", 2, 0), (2, "v1", "insert", "a", "en", 7, 1))
-    assert rollup.commit("one", first)
-    assert not rollup.commit("one", first)
-    totals = lambda: {(r["source"], r["lang"], r["version"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect()}
-    assert totals() == {("a", "en", "v1"): (2, 17), (None, None, "v1"): (1, 0), ("b", "en", "v1"): (1, 2)}
-    assert rollup.commit("two", batch((1, "v1", "delete", "a", "en", None, 0), (9, "v1", "delete", "a", "en", None, 0), (2, "v1", "revise", "c", "fr", 8, 0), (2, "v2", "insert", "c", "fr", 6, 0)))
-    assert totals() == {("c", "fr", "v1"): (1, 8), ("c", "fr", "v2"): (1, 6), (None, None, "v1"): (1, 0), ("b", "en", "v1"): (1, 2)}
-    rollup.changes(first).write.parquet(f"file://{tmp_path}/totals/batches/died")  # a batch without its marker
-    assert len(totals()) == 4
-    with pytest.raises(ValueError):
-        rollup.commit("../x", first)
-
-
-def test_urls(spark):
-    rows = [
-        (1, "http://a.example.com/de/1", None),
-        (2, "https://www.a.example.com/en/9/", '<link rel="canonical" href="http://a.example.com/de/1?utm_source=x">'),
-        (3, "http://b.org/fr/", "<meta http-equiv='refresh' content='0; url=http://a.example.com/de/1'>"),
-        (4, "http://c.org/x", '<LINK href=/y rel=canonical>'),
-        (5, "http://c.org/y", None),
-        (6, "no scheme", "<link rel=canonical href=http://a.example.com/de/1>"),
-        (7, None, None),
-        (8, "HTTP://EXAMPLE.NET/en/?q", None),
-        (9, "http://sub.example.net", None),
-        (10, "http://d.com/1", '<link rel="canonical" href="http://x.example.com/de/2">'),
-        (10, "http://d.com/1", None),
-        (11, "http://x.example.com/de/2", None),
-    ]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as verdict", "3 as node")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages).collect()}
-    assert got[1] == ("a.example.com", "/de/1", "example.com/de/", "block")
-    assert got[2] == ("www.a.example.com", "/en/9/", None, "allow")  # its component holds an allowed URL
-    assert got[3] == ("b.org", "/fr/", "org/fr/", "allow")
-    assert got[5] == ("c.org", "/y", None, "allow")
-    assert got[6] == got[7] == ("", "", None, "allow")
-    assert got[8] == ("example.net", "/en/", "example.net/en/", "allow")
-    assert got[9] == ("sub.example.net", "", None, "allow")
-    assert got[10] == ("d.com", "/1", None, "block")
-    more = spark.createDataFrame([("http://c.org/y", "http://x.example.com/de/2"), (None, "http://c.org/y")], "source string, target string")
-    assert {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, redirects=more).collect()}[4] == "block"
-    assert urlfilter.judge(pages.limit(0)).count() == 0
-
-
 def test_pipeline_stages(spark, documents, tmp_path):
     leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
