@@ -51,21 +51,27 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents are counted and inserted; copies of a text are deleted but for the least id; what is
-    left and not English is recounted with the tokenizer for many languages, under its version; the
-    batch of deletions is sent twice. Returns the totals."""
+    """All documents are counted and inserted; copies of a text are deleted but for the least id; texts with
+    white space to spare are trimmed and their counts revised; what is left and not English, or of no
+    language, moves to the tokenizer for many languages, under its version; the deletions are sent twice.
+    Returns the totals."""
     docs = _table(spark, folder, "documents")
     space = Workspace(spark, "rollup")
     one, many = (public_tokenizers.path(f"byte_bpe_{x}.tiktoken") for x in ("50k", "multi_50k"))
+    counted = lambda rows, path: rollups.count_tokens(rows, path, public_tokenizers.PATTERN)
     rollup = rollups.Rollup(spark, f"{space.path}/totals")
-    rollup.commit("load", rollups.events(rollups.count_tokens(docs, one, public_tokenizers.PATTERN), "insert", "byte_bpe_50k"))
-    named = docs.select("doc_id", "source", "lang", F.md5("text").alias("copy"))
-    least = named.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    rollup.commit("load", rollups.events(counted(docs, one), "insert", "byte_bpe_50k"))
+    named = docs.select("doc_id", "source", "lang", F.md5("text").alias("copy")).where("copy is not null")
+    # Written first, so that the join shuffles for itself and adaptive execution can split a text with many copies.
+    least = space.save(named.groupBy("copy").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("copy", "least"), "least")
     copies = space.save(named.join(least, "copy").where("doc_id <> least").select("doc_id", "source", "lang").distinct(), "copies")
     deletes = rollups.events(copies, "delete", "byte_bpe_50k")
     rollup.commit("copies", deletes)
-    other = docs.where("lang <> 'en'").join(copies.select("doc_id"), "doc_id", "left_anti")
-    moved = rollups.events(other, "delete", "byte_bpe_50k").union(rollups.events(rollups.count_tokens(other, many, public_tokenizers.PATTERN), "insert", "byte_bpe_multi_50k"))
+    left = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
+    trimmed = left.withColumn("was", F.col("text")).withColumn("text", F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")))
+    rollup.commit("trimmed", rollups.events(counted(trimmed.where("text <> was"), one), "revise", "byte_bpe_50k"))
+    other = trimmed.where("not lang <=> 'en'")
+    moved = rollups.events(other, "delete", "byte_bpe_50k").union(rollups.events(counted(other, many), "insert", "byte_bpe_multi_50k"))
     rollup.commit("languages", moved)
     rollup.commit("copies", deletes)
     return rollup.totals()
