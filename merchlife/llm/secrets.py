@@ -10,8 +10,13 @@ at or above the class's threshold that touch are one span. Runs on the allow-lis
 numbers, UUIDs, documented examples, integrity digests) give no entropy span; spans of the fixed
 patterns always stay.
 
+Lists that grow in ``aggregate`` would be copied for each entry. They grow in blocks of ``BLOCK`` entries
+and a list of full blocks, and texts are cut by blocks of characters, so that the work stays in proportion
+to the text, however many matches it has.
+
 Defined cases. Null text is empty; an empty text has no spans and the digest of the empty string.
-Repeated rows each get their result. Columns besides doc_id and text are not looked at.
+Repeated rows each get their result. Columns besides doc_id and text are passed on or not looked at; a
+column named spans gives way to the result of ``scan`` and is passed on by ``redact``.
 """
 
 from __future__ import annotations
@@ -21,6 +26,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merchlife.llm.storage import replaced
+
+BLOCK = 128  # entries of a list that are copied together
+CHARS = 4096  # characters of a text that are looked up together
+
 # Fixed values of the contract, in the order in which kinds are listed.
 ASSIGN = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # a longest run, so the same as all runs of 16 and more
@@ -46,13 +56,28 @@ ALLOWED = r"^[-_/+=]*([A-Z]?[a-z]+|[A-Z]+)([-_/+=]+([A-Z]?[a-z]+|[A-Z]+))*[-_/+=
 ALLOWED_JAVA = ALLOWED.replace("([-_/+=]+([A-Z]?[a-z]+|[A-Z]+))*", "([-_/+=]++([A-Z]?[a-z]++|[A-Z]++))*+")
 
 
+def grown(entry: str, when: str = "true") -> str:
+    """SQL for the fields ``block`` and ``blocks`` of state ``s`` after ``entry`` is added where ``when`` holds."""
+    full = f"size(s.block) >= {BLOCK}"
+    block = f"case when not ({when}) then s.block when {full} then array({entry}) else concat(s.block, array({entry})) end"
+    return f"{block} as block, if(({when}) and {full}, concat(s.blocks, array(s.block)), s.blocks) as blocks"
+
+
+def empty_list(kind: str) -> str:
+    """SQL for the fields before the first entry."""
+    return f"cast(array() as array<{kind}>) as block, cast(array() as array<array<{kind}>>) as blocks"
+
+
+LISTED = "concat(flatten(s.blocks), s.block)"
+
+
 def located(text: str, pattern: str) -> Column:
     """Array of (at, hit): the matches of ``pattern`` in column ``text``, leftmost and not overlapping."""
-    parts = f"zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (g, h) -> struct(g, h))"
-    none = "cast(array() as array<struct<at: int, hit: string>>)"
-    step = "struct(s.at + length(x.g) + coalesce(length(x.h), 0) as at, if(x.h is null, s.out, concat(s.out, array(struct(s.at + length(x.g) as at, x.h as hit)))) as out)"
-    found = f"aggregate({parts}, struct(0 as at, {none} as out), (s, x) -> {step}, s -> s.out)"
-    return F.expr(f"if({text} rlike r'{pattern}', {found}, {none})")
+    parts = f"zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (g, h) -> struct(length(g) as g, h))"
+    kind = "struct<at: int, hit: string>"
+    step = f"struct(s.at + x.g + coalesce(length(x.h), 0) as at, {grown('struct(s.at + x.g as at, x.h as hit)', 'x.h is not null')})"
+    found = f"aggregate({parts}, struct(0 as at, {empty_list(kind)}), (s, x) -> {step}, s -> {LISTED})"
+    return F.expr(f"if({text} rlike r'{pattern}', {found}, cast(array() as array<{kind}>))")
 
 
 def _spans(hits: str, kind: str, rank: int, where: str = "true") -> Column:
@@ -63,7 +88,6 @@ def high_windows(c: CharClass, run: str, width: int = WIDTH) -> str:
     """SQL for the array of (low, high) spans in string ``run`` whose windows reach the threshold."""
     codes = f"transform(split({run}, ''), ch -> instr('{c.alphabet}', ch))"
     table = "array(" + ", ".join("0D" if n < 2 else f"{n}D * log2({n}D)" for n in range(width + 2)) + ")"
-    empty = "cast(array() as array<struct<low: int, high: int>>)"
     # x: position (from 1), character that enters, character that leaves (0: none)
     # The codes are bound to a name, so that they are made once for the run and not once for each character.
     feed = f"element_at(transform(array({codes}), codes -> transform(codes, (code, i) -> struct(i + 1 as at, code as enters, if(i >= {width}, element_at(codes, i + 1 - {width}), 0) as leaves))), 1)"
@@ -71,20 +95,19 @@ def high_windows(c: CharClass, run: str, width: int = WIDTH) -> str:
     came, went = "element_at(s.counts, x.enters)", "element_at(s.counts, x.leaves)"
     total = f"s.total + if(x.enters = x.leaves, 0D, {table_of(came + ' + 1')} - {table_of(came)} + if(x.leaves = 0, 0D, {table_of(f'{went} - 1')} - {table_of(went)}))".replace(went, "element_at(s.counts, greatest(x.leaves, 1))").replace("element_at(s.counts, greatest(x.leaves, 1)) - 1", "greatest(element_at(s.counts, greatest(x.leaves, 1)) - 1, 0)")
     counts = "transform(s.counts, (n, k) -> n + if(k + 1 = x.enters, 1, 0) - if(k + 1 = x.leaves, 1, 0))"
-    first = f"aggregate({feed}, struct(array_repeat(0, {len(c.alphabet)}) as counts, 0D as total, 0 as at, {empty} as out), (s, x) -> "
-    # The state after the counts moved, then the decision on the window that ends here.
-    moved = f"struct({counts} as counts, {total} as total, x.at as at, s.out as out)"
-    high = f"m.at >= {width} and log2({width}D) - m.total / {width} >= {c.threshold}D"
-    touching = f"size(m.out) > 0 and element_at(m.out, -1).high >= m.at - {width}"
-    out = f"if({high}, if({touching}, concat(slice(m.out, 1, size(m.out) - 1), array(struct(element_at(m.out, -1).low as low, m.at as high))), concat(m.out, array(struct(m.at - {width} as low, m.at as high)))), m.out)"
-    decided = f"element_at(transform(array({moved}), m -> struct(m.counts as counts, m.total as total, m.at as at, {out} as out)), 1)"
-    return f"{first}{decided}, s -> s.out)"
-
-
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs(text, …)`` with ``spans``: array of (start, rank, end, kind), sorted; ranks 1 to 3 are the fixed patterns."""
-    if "spans" in docs.columns:
-        raise ValueError("the input has a column named spans")
+    span = "struct<low: int, high: int>"
+    first = f"aggregate({feed}, struct(array_repeat(0, {len(c.alphabet)}) as counts, 0D as total, 0 as at, -1 as low, -1 as high, {empty_list(span)}), (s, x) -> "
+    # The state after the counts moved, then the decision on the window that ends here. The span from low to high is open.
+    moved = f"struct({counts} as counts, {total} as total, x.at as at, s.low as low, s.high as high, s.block as block, s.blocks as blocks)"
+    high = f"(s.at >= {width} and log2({width}D) - s.total / {width} >= {c.threshold}D)"
+    fresh = f"({high} and not (s.low >= 0 and s.high >= s.at - {width}))"
+    closed = grown("struct(s.low as low, s.high as high)", f"{fresh} and s.low >= 0")
+    decided = f"element_at(transform(array({moved}), s -> struct(s.counts as counts, s.total as total, s.at as at, if({fresh}, s.at - {width}, s.low) as low, if({high}, s.at, s.high) as high, {closed})), 1)"
+    return f"{first}{decided}, s -> concat({LISTED}, if(s.low >= 0, array(struct(s.low as low, s.high as high)), cast(array() as array<{span}>))))"
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """(row, t, spans): the row as it is, its text, and its spans."""
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("t"))
     row = row.select("row", "t", located("t", ASSIGN).alias("assign"), located("t", ACCESS).alias("access"), located("t", HEX).alias("hex"), *(located("t", c.pattern).alias(c.kind) for c in CLASSES))
     kinds = [
@@ -95,7 +118,12 @@ def scan(docs: DataFrame) -> DataFrame:
     for rank, c in enumerate(CLASSES, 4):
         runs = f"filter({c.kind}, h -> not h.hit rlike r'{ALLOWED_JAVA}')"
         kinds.append(F.expr(f"flatten(transform({runs}, h -> transform({high_windows(c, 'h.hit')}, w -> struct(h.at + w.low as start, {rank} as rank, h.at + w.high as end, '{c.kind}' as kind))))"))
-    return row.select("row.*", F.array_sort(F.concat(*kinds)).alias("spans"))
+    return row.select("row", "t", F.array_sort(F.concat(*kinds)).alias("spans"))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """``docs(text, …)`` with ``spans``: array of (start, rank, end, kind), sorted; ranks 1 to 3 are the fixed patterns."""
+    return replaced(_scanned(docs), docs.columns, spans=F.col("spans"))
 
 
 def written(spans: str = "spans", where: str = "true") -> Column:
@@ -112,14 +140,32 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; texts without spans stay as they are."""
-    step = f"if(x.start >= s.at, struct(x.end as at, concat(s.out, array(substring(text, s.at + 1, x.start - s.at), '{mark}')) as out), struct(greatest(s.at, x.end) as at, s.out as out))"
-    clean = f"aggregate(spans, struct(0 as at, cast(array() as array<string>) as out), (s, x) -> {step}, s -> concat(array_join(s.out, ''), substring(text, s.at + 1)))"
-    found = scan(docs)
-    text = F.when(F.size("spans") > 0, F.expr(clean)).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    some = F.size("spans") > 0
+    found = _scanned(docs).withColumn("parts", F.expr(f"if(size(spans) > 0, regexp_extract_all(t, '(?s).{{1,{CHARS}}}', 0), cast(array() as array<string>))"))
+    # The characters from a up to b, from the blocks that hold them.
+    low, high = f"(x.a div {CHARS})", f"(x.b div {CHARS})"
+    one = f"substring(parts[cast({low} as int)], cast(x.a % {CHARS} as int) + 1, x.b - x.a)"
+    last = f"coalesce(substring(get(parts, cast({high} as int)), 1, cast(x.b % {CHARS} as int)), '')"
+    many = f"concat(substring(parts[cast({low} as int)], cast(x.a % {CHARS} as int) + 1), array_join(slice(parts, cast({low} as int) + 2, cast({high} - {low} as int) - 1), ''), {last})"
+    cut = f"case when x.a >= x.b then '' when {low} = {high} then {one} else {many} end"
+    # Gaps before spans that do not lie in earlier ones, and the rest.
+    step = f"struct(greatest(s.at, x.end) as at, {grown('struct(s.at as a, x.start as b)', 'x.start >= s.at')})"
+    gaps = f"aggregate(spans, struct(0 as at, {empty_list('struct<a: int, b: int>')}), (s, x) -> {step}, s -> concat({LISTED}, array(struct(s.at as a, length(t) as b))))"
+    text = F.when(some, F.expr(f"array_join(transform({gaps}, x -> {cut}), {sql_text(mark)})")).otherwise(F.col("row.text"))
+    found = found.withColumn("clean", text)
+
+    def column(name: str) -> Column:
+        if name.lower() == "text":
+            return F.col("clean").alias(name)
+        if name == "n_chars":
+            return F.when(some, F.length("clean").cast(dict(docs.dtypes)[name])).otherwise(F.col("row.n_chars")).alias(name)
+        return F.col(f"row.`{name}`").alias(name)
+
+    return found.select(*(column(c) for c in docs.columns))
+
+
+def sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _sql_hits(kind: str, rank: int, pattern: str, value: str = "true") -> str:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -117,6 +119,46 @@ def test_secret_scan(awkward, documents):
     assert secrets.report(documents([])).count() == 0
 
 
+def struck_out(text):
+    out, at = [], 0
+    for span in filter(None, secret_spans(text).split(",")):
+        low, high = map(int, span.split(":")[1:])
+        if low >= at:
+            out += [text[at:low], "it's"]
+        at = max(at, high)
+    return "".join(out) + text[at:]
+
+
+def test_secrets_of_texts_with_many_matches(documents):
+    rng = random.Random(12)
+    digest = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    noise = "".join(rng.choice("abAB01+/") if rng.random() < 0.8 else "aaaaaaaaaaaaaaaaaaaaaaaa" for _ in range(30_000))
+    texts = [" ".join(digest() for _ in range(700)), "é😀 ".join(digest() for _ in range(300)) + "x" * 9000, noise, "password=12345678 " * 400 + "日" * 5000 + " token: abcdefgh"]
+    rows = documents(list(enumerate(texts))).selectExpr("*", "5 as Spans", "'r' as `row`", "6 as t")
+    assert {r["doc_id"]: r["spans"] for r in secrets.report(rows).collect()} == {i: secret_spans(t) for i, t in enumerate(texts)}
+    scanned = secrets.scan(rows)
+    assert scanned.columns == [c for c in rows.columns if c != "Spans"] + ["spans"] and scanned.count() == 4
+    clean = secrets.redact(rows, "it's")
+    assert clean.columns == rows.columns
+    for r in clean.collect():
+        assert r["text"] == struck_out(texts[r["doc_id"]]) and r["n_chars"] == len(r["text"]) and r["Spans"] == 5
+
+
+def test_secret_scan_takes_time_in_proportion_to_matches(documents):
+    rng = random.Random(13)
+    text = lambda n: " ".join("".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(n))
+
+    def seconds(n):
+        df = documents([(1, text(n))]).cache()
+        df.count()
+        start = time.monotonic()
+        secrets.report(df).write.format("noop").mode("overwrite").save()
+        return time.monotonic() - start
+
+    seconds(500)
+    assert seconds(12_000) < 1 + 6 * min(seconds(3_000), seconds(3_000))  # four times the matches
+
+
 def test_secret_scan_of_long_joined_runs(documents):
     secret = "k9Xw2pQz7Lm4Vt8Rb3YcJ1hG"
     words = "Ab-cd_EF/gh+ij=" * 20_000  # 100,000 parts, all of them plain words
