@@ -40,8 +40,8 @@ def top_account_per_merchant(client_base: DataFrame, names: DataFrame) -> DataFr
 
 
 def merchant_profiles(top: DataFrame, account: DataFrame) -> DataFrame:
-    """One row per merchant with the attributes of its largest account. Built once; the
-    account table is keyed by cuenta_id."""
+    """The attributes of each merchant's largest account, DISTINCT. The account table may hold
+    several rows of an account, equal or not."""
     details = account.select(
         F.col("cuenta_id").alias("account_id"),
         *ACCOUNT_KEYS,
@@ -49,23 +49,38 @@ def merchant_profiles(top: DataFrame, account: DataFrame) -> DataFrame:
         "ciudad",
         "grupo_perfil_cobranza_id",
     )
-    return top.join(details, "account_id", "left").drop("tpt_total")
+    return top.join(details, "account_id", "left").drop("tpt_total").distinct()
 
 
 def attach_mcc(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    return rows.join(profiles.select("nombre_merchant", "codigo_mcc_id"), "nombre_merchant", "left")
+    """Distinct rows with the MCC. The DISTINCT that follows the join is taken on the narrow
+    side before it, which gives the same rows without a wide shuffle; so it is in the next two."""
+    return rows.join(profiles.select("nombre_merchant", "codigo_mcc_id").distinct(), "nombre_merchant", "left")
+
+
+def attach_active_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Distinct rows with MCC, account attributes and referred flag. The MCC and the other
+    attributes come from joins of their own, so an account with several different rows gives
+    each MCC with each of the others."""
+    rest = [F.col(c) for c in ("modelo_pagos", "fuente_creacion")]
+    rest += [yes_no(F.col(REFERRED).isNotNull()).alias(REFERRED), F.col("ciudad")]
+    # Structs, as the set of a bare column would lose a NULL. A merchant has one account here.
+    sets = profiles.groupBy("nombre_merchant").agg(
+        F.collect_set(F.struct("codigo_mcc_id")).alias("_mcc"),
+        F.collect_set(F.struct(*rest)).alias("_rest"),
+    )
+    each = sets.select("nombre_merchant", F.explode("_mcc").alias("_mcc"), "_rest").select(
+        "nombre_merchant", "_mcc.*", F.explode("_rest").alias("_rest")
+    )
+    return rows.join(each.select("nombre_merchant", "codigo_mcc_id", "_rest.*"), "nombre_merchant", "left")
 
 
-def attach_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """MCC and account attributes in one join."""
-    kept = profiles.select("nombre_merchant", *ACCOUNT_KEYS, REFERRED, "ciudad")
+def attach_churn_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Distinct rows with MCC and account attributes from one join; the referral stays raw."""
+    kept = profiles.select("nombre_merchant", *ACCOUNT_KEYS, REFERRED, "ciudad").distinct()
     return rows.join(kept, "nombre_merchant", "left")
 
 
-def referred_flag(rows: DataFrame) -> DataFrame:
-    return rows.withColumn(REFERRED, yes_no(F.col(REFERRED).isNotNull()))
-
-
 def standardise_city(rows: DataFrame) -> DataFrame:
     return rows.withColumn("city", city_group("ciudad"))
 
@@ -104,32 +119,44 @@ def account_fees(fees: DataFrame, account: DataFrame) -> DataFrame:
     )
 
 
-def group_fee_columns(fees: DataFrame) -> DataFrame:
-    """The eight fee columns per charge-profile group. Several different fees of one type
-    give one row per combination. Done per group and not per account: the group is the
-    grain of the fees, and groups are few."""
-    group = "grupo_perfil_cobranza_id"
-    wide = fees.select(group).distinct()
+def fee_columns(fees: DataFrame, owner: str) -> DataFrame:
+    """The eight fee columns per owner of fees, which is a charge-profile group or a merchant.
+    Several different fees of one type give one row per combination."""
+    wide = fees.select(owner).distinct()
     for method, (flat, percentage) in FEE_COLUMNS.items():
         side = (
             fees.filter(F.col("tipo_medio_pago") == method)
             .select(
-                group,
+                owner,
                 F.col("comision_plana_comercio").alias(flat),
                 F.col("comision_porcentual_comercio").alias(percentage),
             )
             .distinct()
         )
-        wide = wide.join(side, group, "left")
+        wide = wide.join(side, owner, "left")
     return wide
 
 
-def merchant_fees(profiles: DataFrame, fee_columns: DataFrame) -> DataFrame:
-    """(merchant, eight fee columns) of the merchant's largest account."""
+def merchant_fees(profiles: DataFrame, fees: DataFrame, by_group: DataFrame) -> DataFrame:
+    """(merchant, eight fee columns) of the merchant's largest account, DISTINCT.
+
+    `by_group` has the fee columns per group: the group is the grain of the fees, and groups are
+    few. Only merchants whose account has rows in several groups, whose fees combine across the
+    groups, are worked out by themselves.
+    """
+    group = "grupo_perfil_cobranza_id"
+    groups = profiles.groupBy("nombre_merchant").agg(F.collect_set(group).alias("_groups"))
+    one = groups.filter(F.size("_groups") == 1).select(
+        "nombre_merchant", F.element_at("_groups", 1).alias(group)
+    )
+    several = groups.filter(F.size("_groups") > 1).select(
+        "nombre_merchant", F.explode("_groups").alias(group)
+    )
+    theirs = several.join(fees, group)
     return (
-        profiles.select("nombre_merchant", "grupo_perfil_cobranza_id")
-        .join(fee_columns, "grupo_perfil_cobranza_id")
+        one.join(by_group, group)
         .select("nombre_merchant", *FEES)
+        .unionByName(fee_columns(theirs, "nombre_merchant").select("nombre_merchant", *FEES))
     )
 
 

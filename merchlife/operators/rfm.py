@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merchlife.functions.columns import (
@@ -30,6 +30,7 @@ RFM_COLUMNS = (
     "rfm_group",
 )
 HIGH, LOW = "Alta", "Baja"
+UNSCORED = "Unscored"
 
 # Group labels by (recent, frequent, high value).
 GROUPS = {
@@ -184,7 +185,35 @@ def rfm_summary(rows: DataFrame, p: Params) -> DataFrame:
 
 
 def rfm_migration(rows: DataFrame, p: Params) -> DataFrame:
-    """Active rows with the group of the merchant's previous row, by merchant and month: the
-    migration matrix is a count over (last_rfm, rfm_group). The sort is by ranges."""
-    found = _active_since(rows, p).withColumn("last_rfm", previous_in_merchant("rfm_group", *FEES))
+    """Active rows with the group of the merchant's previous row, by merchant and month. The sort
+    is by ranges. Rows of one month that differ in attributes only are told apart by them."""
+    ties = (*FEES, *ACCOUNT_KEYS, REFERRED, "ciudad")
+    found = _active_since(rows, p).withColumn("last_rfm", previous_in_merchant("rfm_group", *ties))
     return found.orderBy("nombre_merchant", "mes")
+
+
+def migration_matrix(moves: DataFrame, spark: SparkSession, p: Params) -> DataFrame:
+    """Rows by month, previous group and group, with their share of the previous group's rows.
+
+    The counts are sparse; the grid of all months of the report and all groups is laid over
+    them, so that moves nobody made are zeros and months without rows are there. Rows without
+    a score, and first rows, are in UNSCORED. A given score table may have groups of its own:
+    they add cells where they occur.
+    """
+    last, now = (F.coalesce(c, F.lit(UNSCORED)).alias(c) for c in ("last_rfm", "rfm_group"))
+    keys = ["mes", "last_rfm", "rfm_group"]
+    counts = moves.select("mes", last, now).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    labels = F.array(*(F.lit(g) for g in (*GROUPS.values(), UNSCORED)))
+    months = F.sequence(day(p.rfm_start), day(p.last_month), F.expr("interval 1 month"))
+    grid = (
+        spark.range(1)
+        .select(F.explode(months).alias("mes"))
+        .withColumn("last_rfm", F.explode(labels))
+        .withColumn("rfm_group", F.explode(labels))
+    )
+    whole = Window.partitionBy("mes", "last_rfm")
+    return (
+        grid.join(counts, keys, "full")
+        .select(*keys, F.coalesce("_n", F.lit(0).cast("long")).alias("cantidad"))
+        .withColumn("participacion", F.try_divide(F.col("cantidad"), F.sum("cantidad").over(whole)))
+    )

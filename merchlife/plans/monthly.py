@@ -61,6 +61,7 @@ REPORTS = (
     "segment_dashboard_mcc",
     "rfm_summary",
     "rfm_migration",
+    "rfm_migration_matrix",
     "cohort_first_trx_by_attributes",
     "cohort_creation_by_attributes",
     "lifecycle_status",

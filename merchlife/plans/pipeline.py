@@ -335,8 +335,7 @@ class MerchantPipeline:
     @step
     def active_attributes(self) -> DataFrame:
         """MCC and account attributes of the active rows, from one join."""
-        rows = attributes.attach_profile(self.active_distinct(), self.merchant_profiles())
-        return attributes.referred_flag(rows)
+        return attributes.attach_active_profile(self.active_distinct(), self.merchant_profiles())
 
     @step
     def active_city(self) -> DataFrame:
@@ -350,10 +349,14 @@ class MerchantPipeline:
     def account_fees(self) -> DataFrame:
         return attributes.account_fees(self.group_fees(), self.src.account)
 
+    @step
+    def group_fee_columns(self) -> DataFrame:
+        return attributes.fee_columns(self.group_fees(), "grupo_perfil_cobranza_id")
+
     @stage
     def merchant_fees(self) -> DataFrame:
         return attributes.merchant_fees(
-            self.merchant_profiles(), attributes.group_fee_columns(self.group_fees())
+            self.merchant_profiles(), self.group_fees(), self.group_fee_columns()
         )
 
     @stage
@@ -364,7 +367,7 @@ class MerchantPipeline:
     @step
     def churn_attributes(self) -> DataFrame:
         """Attributes of the churn events; the referral stays raw here."""
-        return attributes.attach_profile(self.churn_events(), self.merchant_profiles())
+        return attributes.attach_churn_profile(self.churn_events(), self.merchant_profiles())
 
     @step
     def churn_city(self) -> DataFrame:
@@ -524,6 +527,10 @@ class MerchantPipeline:
     def rfm_migration(self) -> DataFrame:
         return rfm.rfm_migration(self.lifecycle_rfm(), self.p)
 
+    @step
+    def rfm_migration_matrix(self) -> DataFrame:
+        return rfm.migration_matrix(self.rfm_migration(), self.spark, self.p)
+
     @step
     def cohort_first_trx_by_attributes(self) -> DataFrame:
         return reports.cohort_first_trx_by_attributes(self.lifecycle_rows(), self.p)

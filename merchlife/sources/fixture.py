@@ -12,21 +12,25 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlife.functions.columns import exact_sum, month
+from merchlife.functions.columns import exact_sum
 from merchlife.params import Params
 from merchlife.sources.stages import StageStore
 from merchlife.sources.tables import Sources
 
 FIXTURE_PARAMS = Params(
-    as_of=date(1998, 1, 1),
-    fee_snapshot_month=date(1997, 6, 1),
-    review_month=date(1997, 3, 1),
-    curve_start=date(1995, 4, 1),
-    dashboard_start=date(1996, 7, 1),
-    rfm_start=date(1996, 7, 1),
-    cohort_start=date(1995, 5, 1),
+    as_of=date(2001, 9, 1),
+    fee_snapshot_month=date(2001, 2, 1),
+    review_month=date(2000, 11, 1),
+    curve_start=date(1998, 12, 1),
+    dashboard_start=date(2000, 3, 1),
+    rfm_start=date(2000, 3, 1),
+    cohort_start=date(1999, 1, 1),
 )
 
+# Order months run from the first to the last of these. Each customer's are moved together
+# towards the last one, so that the first ones are spread over the years.
+FIRST_MONTH, LAST_INDEX, STARTS, STRIDE = date(1995, 1, 1), 79, 72, 7
+
 # Fixed values of the fixture, shared with its SQL form.
 PAYMENT_METHODS = (
     "PSE",
@@ -89,24 +93,37 @@ def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     pair = F.floor(k / 2).cast("long")
     merchant = F.concat(F.lit("M"), pair.cast("string"))
 
-    first_order = orders.groupBy(F.col("o_custkey").alias("k")).agg(
-        F.to_date(F.min("o_orderdate")).alias("first_order")
+    index = (F.year("o_orderdate") - FIRST_MONTH.year) * 12 + F.month("o_orderdate") - 1
+    start = (F.col("o_custkey") * STRIDE) % STARTS
+    moved = F.expr("_start + (_index * ({0} - _start)) div {0}".format(LAST_INDEX)).cast("int")
+    orders = (
+        orders.withColumns({"_index": index, "_start": start})
+        .withColumn("m", F.add_months(F.lit(FIRST_MONTH), moved))
+        .drop("_index", "_start")
+    )
+    first_order = orders.groupBy(F.col("o_custkey").alias("k")).agg(F.min("m").alias("first_order"))
+    opened = F.date_add(F.add_months("first_order", (-(k % 4)).cast("int")), (k % 28).cast("int"))
+    # Some accounts have two equal rows; some another one with other attributes, which is repeated.
+    versions = F.when(k % 11 == 0, F.array(F.lit(0), F.lit(1), F.lit(1))).when(
+        k % 13 == 0, F.array(F.lit(0), F.lit(0))
     )
+    version = F.col("version")
     account = (
         customer.join(first_order, "k", "left")
+        .withColumn("version", F.explode(F.coalesce(versions, F.array(F.lit(0)))))
         .select(
             text_k.alias("cuenta_id"),
             F.col("c_name").alias("nombre"),
             F.floor(k / 3).cast("long").alias("usuario_id"),
-            F.add_months("first_order", (-(k % 4)).cast("int")).alias("fecha_creacion"),
-            F.col("c_nationkey").cast("string").alias("codigo_mcc_id"),
-            F.when(k % 2 == 0, F.lit("AGGREGATOR")).otherwise(F.lit("GATEWAY")).alias(
+            opened.alias("fecha_creacion"),
+            (F.col("c_nationkey") + version).cast("string").alias("codigo_mcc_id"),
+            F.when((k + version) % 2 == 0, F.lit("AGGREGATOR")).otherwise(F.lit("GATEWAY")).alias(
                 "modelo_pagos"
             ),
             _pick(SOURCES, k % 3).alias("fuente_creacion"),
-            F.when(k % 5 == 0, F.lit("r")).alias("referido_cuenta_linea"),
-            _pick(CITIES, F.col("c_nationkey")).alias("ciudad"),
-            F.col("c_nationkey").alias("grupo_perfil_cobranza_id"),
+            F.when((k + version) % 5 == 0, F.lit("r")).alias("referido_cuenta_linea"),
+            _pick(CITIES, (F.col("c_nationkey") + version) % len(CITIES)).alias("ciudad"),
+            (F.col("c_nationkey") + version).alias("grupo_perfil_cobranza_id"),
         )
     )
     country = F.when(F.col("n_regionkey") == 4, F.lit("XX")).otherwise(F.lit("CO"))
@@ -118,11 +135,11 @@ def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             "c_name",
             "c_mktsegment",
             country.alias("country_account"),
-            F.add_months("first_order", (-(k % 4)).cast("int")).alias("account_create_date"),
+            opened.alias("account_create_date"),
         )
     )
     billed = orders.select(
-        F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice", month("o_orderdate").alias("m")
+        F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice", "m"
     ).join(dimension, "k")
     agg_monthly = billed.select(
         text_k.alias("account_id"),
@@ -163,11 +180,11 @@ def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     rates = spark.range(1).select(F.explode(months).alias("d")).select(
         F.year("d").alias("year"),
         F.month("d").alias("month"),
-        F.when(F.col("d") == date(1996, 5, 1), F.lit("ARS")).otherwise(F.lit("COP")).alias("currency"),
+        F.when(F.col("d") == date(2000, 5, 1), F.lit("ARS")).otherwise(F.lit("COP")).alias("currency"),
         (F.lit(3000) + 10 * F.month("d") + F.year("d") - 1995).alias("usd"),
     )
     other = rates.withColumn("currency", F.lit("MXN")).withColumn("usd", F.lit(17))
-    quarter_ends = F.array(*(F.lit(date(y, m, 1)) for y in (1995, 1996, 1997) for m in (3, 6, 9, 12)))
+    quarter_ends = F.array(*(F.lit(date(y, m, 1)) for y in (1999, 2000, 2001) for m in (3, 6, 9, 12)))
     merchants = customer.select("k")
     vip = F.when(pair % 7 == 0, F.lit("ex_vip"))
     managed = F.when(pair % 5 == 0, F.lit("gerenciado"))
@@ -175,7 +192,7 @@ def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "account": account,
         "dim_account": customer.join(first_order, "k", "left").select(
             text_k.alias("account_id"),
-            F.add_months("first_order", (-(k % 4)).cast("int")).alias("account_create_date"),
+            opened.alias("account_create_date"),
         ),
         "name_map": customer.select(
             F.when(k % 10 == 0, F.concat(F.lit("x"), text_k)).otherwise(text_k).alias("account_id"),

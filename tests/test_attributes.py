@@ -57,7 +57,8 @@ def test_several_fees_per_method_multiply_rows(table, spark):
                               "nombre_merchant string, account_id string, tpt_total double"),
         table("account", [account("a", 10), account("b", 20)]),
     )
-    by_merchant = AT.merchant_fees(profiles, AT.group_fee_columns(fees(table)))
+    given = fees(table)
+    by_merchant = AT.merchant_fees(profiles, given, AT.fee_columns(given, "grupo_perfil_cobranza_id"))
     found = {tuple(r[c] for c in ("nombre_merchant", "plana_visa", "plana_pse", "plana_efecty"))
              for r in by_merchant.collect()}
     assert found == {
@@ -67,6 +68,30 @@ def test_several_fees_per_method_multiply_rows(table, spark):
     }
 
 
+def test_rows_of_an_account_are_distinct_after_each_join(table, spark, rows):
+    """An account with two different rows, one of them repeated: the MCC and the other attributes
+    come from joins of their own, the fees of its groups combine, and nothing is repeated."""
+    one = ("a", "o", 1, None, "9", "AGGREGATOR", "OB1", None, "cali", 10)
+    two = ("a", "o", 1, None, "8", "GATEWAY", "OB1", "r", None, 20)
+    top = spark.createDataFrame([("m", "a", 1.0)], "nombre_merchant string, account_id string, tpt_total double")
+    profiles = AT.merchant_profiles(top, table("account", [one, two, two, one]))
+    merchants = spark.createDataFrame([("m", date(2020, 6, 1)), ("x", date(2020, 6, 1))], "nombre_merchant string, mes date")
+    assert rows(AT.attach_mcc(merchants, profiles), "codigo_mcc_id") == [("8",), ("9",), (None,)]
+    active = AT.attach_active_profile(merchants, profiles)
+    assert active.columns == ["nombre_merchant", "mes", "codigo_mcc_id", "modelo_pagos", "fuente_creacion", "referido_cuenta_linea", "ciudad"]
+    assert rows(active, "codigo_mcc_id", "modelo_pagos", "referido_cuenta_linea", "ciudad") == [
+        ("8", "AGGREGATOR", "No", "cali"), ("8", "GATEWAY", "Yes", None),
+        ("9", "AGGREGATOR", "No", "cali"), ("9", "GATEWAY", "Yes", None),
+        (None, None, None, None),
+    ]
+    churn = AT.attach_churn_profile(merchants, profiles)
+    assert rows(churn, "codigo_mcc_id", "referido_cuenta_linea") == [("8", "r"), ("9", None), (None, None)]
+    given = fees(table)
+    found = AT.merchant_fees(profiles, given, AT.fee_columns(given, "grupo_perfil_cobranza_id"))
+    assert found.count() == found.distinct().count() == 4
+    assert {tuple(r)[1::2] for r in found.collect()} == {(Decimal(v), None, Decimal(p), Decimal(5)) for v in (1, 2) for p in (3, 4)}
+
+
 def test_fees_only_in_the_snapshot_month(spark, params):
     merchants = spark.createDataFrame(
         [("m", date(2020, 6, 1)), ("m", date(2020, 7, 1)), ("x", date(2020, 6, 1))],

@@ -139,5 +139,5 @@ def test_sinks_replace(spark, small, tmp_path):
     for _ in range(2):
         write_table(small.monthly_kpis(), "sinks.kpis", "mes")
     assert spark.table("sinks.kpis").count() == 36
-    assert spark.table("sinks.kpis").filter(F.col("mes") == "1997-12-01").count() == 1
+    assert spark.table("sinks.kpis").filter(F.col("mes") == "2001-08-01").count() == 1
     spark.sql("DROP DATABASE sinks CASCADE")

@@ -67,8 +67,8 @@ def test_fixed_thresholds(spark, params):
 
 
 def test_migration_takes_the_previous_row_of_the_merchant(spark, params):
-    extra = ", ".join(f"{c} long" for c in (*METHODS, *R.FEES))
-    zero = [0] * 18
+    extra = ", ".join(f"{c} long" for c in (*METHODS, *R.FEES, *R.ACCOUNT_KEYS, R.REFERRED, "ciudad"))
+    zero = [0] * 23
     data = [("a", date(2020, m, 1), 0, "Activos", g, *zero) for m, g in ((1, "Low"), (2, "Loyal"), (5, "Low"))]
     data += [("b", date(2020, 2, 1), 0, "Activos", "Recent", *zero), ("a", date(2020, 3, 1), 6, "Churn", "x", *zero)]
     df = spark.createDataFrame(data, f"nombre_merchant string, mes date, inactividad long, estado_ string, rfm_group string, {extra}")
@@ -77,6 +77,17 @@ def test_migration_takes_the_previous_row_of_the_merchant(spark, params):
     assert found == {("a", 1): None, ("a", 2): "Low", ("a", 5): "Loyal", ("b", 2): None}
 
 
+def test_migration_matrix_is_dense(spark, params):
+    p = replace(params, rfm_start=date(2020, 10, 1))  # the newest closed month is December
+    moves = [(date(2020, 10, 1), None, "Low"), (date(2020, 10, 1), "Low", "Low"), (date(2020, 10, 1), "Low", "Loyal"), (date(2020, 10, 1), "Low", "Loyal"), (date(2020, 12, 1), "own", None)]
+    out = R.migration_matrix(spark.createDataFrame(moves, "mes date, last_rfm string, rfm_group string"), spark, p).collect()
+    cells = {(r["mes"].month, r["last_rfm"], r["rfm_group"]): (r["cantidad"], r["participacion"]) for r in out}
+    assert len(out) == len(cells) == 3 * 9 * 9 + 1  # and the cell of a group that only the data has
+    assert cells[10, "Low", "Loyal"] == (2, 2 / 3) and cells[10, "Low", "Champion"] == (0, 0.0)
+    assert cells[10, R.UNSCORED, "Low"] == (1, 1.0) and cells[11, "Low", "Low"] == (0, None)
+    assert cells[12, "own", R.UNSCORED] == (1, 1.0)
+
+
 def test_a_given_rfm_table_is_used(spark, small, table):
     from merchlife import MerchantPipeline
     from merchlife.sources.fixture import FIXTURE_PARAMS

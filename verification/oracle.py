@@ -11,7 +11,7 @@ import re
 from dataclasses import replace
 
 from merchlife.functions.columns import CITY_RULES, FEES, MEASURES, METHODS, OTHER_CITIES
-from merchlife.operators.rfm import GROUPS
+from merchlife.operators.rfm import GROUPS, UNSCORED
 from merchlife.params import Params
 from merchlife.sources.fixture import FIXTURE_PARAMS
 from verification.fixture_sql import FIXTURE
@@ -617,7 +617,22 @@ def steps(p: Params) -> dict[str, str]:
             SELECT *, CASE WHEN lag(nombre_merchant) OVER w = nombre_merchant
                            THEN lag(rfm_group) OVER w END AS last_rfm
             FROM marked_scored WHERE mes >= {day(p.rfm_start)} AND estado_ = 'Activos'
-            WINDOW w AS (ORDER BY {ROW_ORDER}, {FEE_ORDER})""",
+            WINDOW w AS (ORDER BY {ROW_ORDER}, {FEE_ORDER}, codigo_mcc_id, modelo_pagos,
+                         fuente_creacion, referido_cuenta_linea, ciudad)""",
+        "migration_labels": f"""
+            SELECT unnest([{listed((*GROUPS.values(), UNSCORED))}]) AS label""",
+        "migration_cells": f"""
+            SELECT c.mes, a.label AS last_rfm, b.label AS rfm_group
+            FROM calendar c, migration_labels a, migration_labels b
+            WHERE c.mes >= {day(p.rfm_start)}""",
+        "migration_matrix": f"""
+            SELECT mes, last_rfm, rfm_group, n AS cantidad,
+                   n / nullif(sum(n) OVER (PARTITION BY mes, last_rfm), 0) AS participacion
+            FROM (SELECT c.*, count(m.mes) AS n FROM migration_cells c
+                  LEFT JOIN migration m ON m.mes = c.mes
+                       AND coalesce(m.last_rfm, '{UNSCORED}') = c.last_rfm
+                       AND coalesce(m.rfm_group, '{UNSCORED}') = c.rfm_group
+                  GROUP BY c.mes, c.last_rfm, c.rfm_group)""",
         "cohort_trx_attrs": f"""
             SELECT primera_trx_nombre, mob_first_trx, {ALL_KEYS}, {eavg("tpt")} AS tpt,
                    {eavg("tpv_usd")} AS tpv, {eavg("revenue_usd")} AS revenue, count(*) AS cantidad
@@ -805,6 +820,9 @@ OUTPUTS: dict[str, tuple[str, str]] = {
     "rfm_migration": (
         "migration", f"{SEGMENTED}, primera_trx_sin s, {RFM_SPEC}, last_rfm s"
     ),
+    "rfm_migration_matrix": (
+        "migration_matrix", "mes d, last_rfm s, rfm_group s, cantidad i, participacion f"
+    ),
     "cohort_first_trx_by_attributes": (
         "cohort_trx_attrs", f"primera_trx_nombre d, mob_first_trx i, {COHORT_MEANS}, {DASH_KEYS}"
     ),
