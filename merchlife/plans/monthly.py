@@ -6,8 +6,9 @@ from pyspark.sql import SparkSession
 
 from merchlife.params import Params
 from merchlife.plans.pipeline import MerchantPipeline
+from merchlife.sources.releases import Releases
 from merchlife.sources.stages import StageStore
-from merchlife.sources.tables import Sources, write_report, write_table
+from merchlife.sources.tables import Sources
 
 # Steps that are kept as tables. Those with a month of their own are partitioned by it.
 TABLES = (
@@ -73,23 +74,34 @@ def monthly_run(
     spark: SparkSession,
     sources: Sources,
     params: Params,
-    database: str,
-    reports: str,
+    database: str | None,
+    warehouse: str,
     report_format: str = "parquet",
-) -> None:
-    """Writes every table to `database` and every report to a folder under `reports`.
+) -> Releases:
+    """Writes every table and report as one release in the folder `warehouse`, and shows the
+    tables as views in `database` if one is given.
 
-    A later run replaces both. The targets are never read here, so a run that was stopped
-    is simply started again; its stages go at the end, whether it succeeds or not.
+    Readers see the release before until all of this one is written and audited, then all of
+    this one. A run that was stopped is simply started again; what it wrote is never read. Its
+    stages go at the end, whether it succeeds or not.
     """
     store = StageStore(spark)
+    releases = Releases(spark, warehouse)
+    release = releases.begin()
     try:
         run = MerchantPipeline(spark, sources, params, store)
         run.prepare()
         for name in TABLES:
             df = getattr(run, name)()
-            write_table(df, f"{database}.{name}", "mes" if "mes" in df.columns else None)
+            release.write(df, name, "mes" if "mes" in df.columns else None)
         for name in REPORTS:
-            write_report(getattr(run, name)(), f"{reports.rstrip('/')}/{name}", report_format)
+            release.write(getattr(run, name)(), name, file_format=report_format)
+        release.commit()
+    except BaseException:
+        release.abort()
+        raise
     finally:
         store.close()
+    if database:
+        releases.publish(database)
+    return releases

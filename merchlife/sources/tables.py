@@ -99,27 +99,6 @@ class Sources:
         return cls(**{n: spark.table(table) for n, table in names.items()})
 
 
-def write_table(df: DataFrame, table: str, month_column: str | None = None) -> None:
-    """Drop-and-recreate sink. With a month column the table is partitioned by it, so
-    that later month filters prune files; its rows are dealt by month first, so that a
-    month has few files, and large months are split."""
-    if month_column:
-        df = df.hint("rebalance", month_column)
-    writer = df.write.mode("overwrite").format("parquet")
-    if month_column:
-        writer = writer.partitionBy(month_column)
-    writer.saveAsTable(table)
-
-
-def write_report(df: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """Files for the dashboard tool."""
-    writer = df.write.mode("overwrite")
-    if file_format == "csv":
-        writer.option("header", True).csv(path)
-    else:
-        writer.format(file_format).save(path)
-
-
 def smb_accounts(allow_list: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
     """Distinct allow-listed account ids without the test accounts."""
     kept = allow_list.filter(~F.col("account_id").isin(*excluded))

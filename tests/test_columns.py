@@ -9,8 +9,8 @@ from merchlife.sources.tables import (
     Sources,
     conform,
     to_usd,
-    write_report,
-    write_table,
+    
+    
 )
 
 
@@ -127,17 +127,3 @@ def test_sources_round_trip(spark, small, tmp_path):
     assert named.client_base.count() == small.src.client_base.count()
     for name in CONTRACTS:
         spark.catalog.dropTempView(f"t_{name}")
-
-
-def test_sinks_replace(spark, small, tmp_path):
-    write_report(small.monthly_kpis(), str(tmp_path / "kpis"), "csv")
-    assert spark.read.option("header", True).csv(str(tmp_path / "kpis")).count() == 36
-    write_report(small.monthly_kpis(), str(tmp_path / "kpis_parquet"))
-    assert spark.read.parquet(str(tmp_path / "kpis_parquet")).count() == 36
-
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS sinks LOCATION '{tmp_path}/db'")
-    for _ in range(2):
-        write_table(small.monthly_kpis(), "sinks.kpis", "mes")
-    assert spark.table("sinks.kpis").count() == 36
-    assert spark.table("sinks.kpis").filter(F.col("mes") == "2001-08-01").count() == 1
-    spark.sql("DROP DATABASE sinks CASCADE")
