@@ -82,7 +82,7 @@ def slots_of(codes: np.ndarray, slots: int) -> list[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, limit=2 << 20):
+    for batch in pieces(batches):
         codes, owner, _ = grams(batch.column("text"))
         langs = batch.column("lang").dictionary_encode()
         name = np.asarray(langs.indices)[owner]
@@ -90,19 +90,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"lang": langs.dictionary.take(pa.array(keys >> 32)), "gram": keys & 0xFFFFFFFF, "n": n.astype(np.int64)})
 
 
-def learn(space: Workspace, rows: DataFrame, sample: int = 20_000, slots: int = 1 << 19, close: float = 0.3, least: int = 2) -> Filters:
+def learn(space: Workspace, rows: DataFrame, sample: int = 20_000, slots: int = 1 << 19, close: float = 0.3, least: int = 2, labels: int = 960) -> Filters:
     """Filters from ``rows(doc_id, text, lang)``.
 
     ``sample``: about so many labelled rows are learned from, the ones whose id hashes lowest;
     each of them whole. ``close``: an n-gram belongs to a language if its share of n-grams there is
-    at least so many times its largest share. ``least``: and if seen so often there.
+    at least so many times its largest share. ``least``: and if seen so often there. ``labels``: more
+    languages than that are an error; the filters take 4 MB for each 60 of them.
     """
     rows = rows.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     total = rows.count()
     if total > sample:
         rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
     counts = space.save(rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(labels + 1).collect()}
+    if len(sizes) > labels:
+        raise ValueError(f"lang has more than {labels} values")
     names = tuple(sorted(sizes))
     words = -(-len(names) // BITS)
     table = np.zeros((words, slots), U64)
@@ -160,7 +163,7 @@ def identify(rows: DataFrame, filters: Filters) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(filters)  # fixed size
 
     def run(batches):
-        for batch in pieces(batches, limit=1 << 20):
+        for batch in pieces(batches):
             names, score = judge(shared.value, batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "key", "lang_pred", "score"])
 

@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchlife.llm.bytescan import U64, mix, pieces, runs, span_hashes, texts, unit
+from merchlife.llm.bytescan import U64, mix, pieces, release, runs, span_hashes, texts, unit
 from merchlife.llm.components import connected_components
 from merchlife.llm.storage import Workspace, keyed, row_key, small, without
 
+THROWN = 1 << 17  # darts thrown together
+SOME = 256  # pairs whose bags are looked at together
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -108,8 +110,8 @@ def _throw(sig, doc, element, weight, bound, k) -> None:
         i, size = 0, 1
         while len(d):
             steps = np.arange(i, i + size, dtype=U64) * U64(0x9E3779B97F4A7C15)
-            for low_row in range(0, len(d), max(1, (1 << 20) // size)):
-                rows = slice(low_row, low_row + max(1, (1 << 20) // size))
+            for low_row in range(0, len(d), max(1, THROWN // size)):
+                rows = slice(low_row, low_row + max(1, THROWN // size))
                 hit = mix(key[rows, None] + steps[None])
                 gaps = -np.log(unit(hit)) / width
                 gaps[:, 0] += rank[rows]
@@ -146,7 +148,7 @@ def signed(texts_by_node: DataFrame, p: Params) -> DataFrame:
     """(node, sig, bands) from (node, text): sig has 32 bits of each coordinate, for estimates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=1 << 20):
+        for batch in pieces(batches):
             doc, element, weight = shingles(batch.column("text"), p.words)
             sig = signatures(doc, element, weight.astype(np.float64), len(batch), p.k)
             some = np.isfinite(sig).all(1)
@@ -162,7 +164,7 @@ def _bags(texts_by_node: DataFrame, p: Params) -> DataFrame:
     """(node, hashes, weights): sorted shingle hashes and their weights."""
 
     def run(batches):
-        for batch in pieces(batches, limit=1 << 20):
+        for batch in pieces(batches):
             doc, element, weight = shingles(batch.column("text"), p.words)
             cut = np.searchsorted(doc, np.arange(len(batch) + 1))
             e, w = element.tobytes(), weight.astype(np.uint32).tobytes()
@@ -192,9 +194,12 @@ def verified(space: Workspace, pairs: DataFrame, docs: DataFrame, p: Params, tag
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("ah", "aw", "bh", "bw")]
-            score = np.array([jaccard(*x) for x in zip(*cols, strict=True)])
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(score, pa.float64())], names=["a", "b", "similarity"]).filter(pa.array(score >= p.similarity - 1e-12, pa.bool_()))
+            for low in range(0, len(batch), SOME):
+                part = batch.slice(low, SOME)
+                cols = [part.column(c).to_pylist() for c in ("ah", "aw", "bh", "bw")]
+                score = np.array([jaccard(*x) for x in zip(*cols, strict=True)])
+                yield pa.record_batch([part.column("a"), part.column("b"), pa.array(score, pa.float64())], names=["a", "b", "similarity"]).filter(pa.array(score >= p.similarity - 1e-12, pa.bool_()))
+        release()
 
     return space.save(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, similarity double"), f"{tag}-links")
 
@@ -203,7 +208,7 @@ def _finely(texts_by_node: DataFrame, p: Params) -> DataFrame:
     """(node, sig): longer signatures, a byte for each coordinate."""
 
     def run(batches):
-        for batch in pieces(batches, limit=1 << 18):
+        for batch in pieces(batches):
             doc, element, weight = shingles(batch.column("text"), p.words)
             sig = signatures(doc, element, weight.astype(np.float64), len(batch), p.fine)
             yield pa.record_batch([batch.column("node"), _fixed(mix(sig.view(U64)).astype(np.uint8))], names=["node", "sig"])
@@ -289,6 +294,8 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     parts = space.save(connected_components(space, links.union(more), "parts"), "components")
     grouped = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     names = grouped.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
+    # Written, so that the join shuffles for itself and adaptive execution can split a large class.
+    names = space.save(names, "names")
     out = grouped.join(names, "part", "left")
     return out.select(
         "doc_id",
