@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from merchlife.llm.storage import Workspace
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link neighbours of each node to the least node near it; minima are combined before they move."""
+def _star(space: Workspace, edges: DataFrame, large: bool, name: str) -> DataFrame:
+    """Link neighbours of each node to the least node near it; minima are combined before they move.
+
+    The minima are written before they are joined: the join then shuffles for itself, and adaptive
+    execution can split the edges of a node that has very many.
+    """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else both.where("b < a")
     least = near.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
+    least = space.save(least.select("a", F.least("a", "m").alias("m")), f"{name}-least")
     linked = near.join(least, "a")
     if large:
-        return linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    else:
+        out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    saved = space.save(out, name)
+    space.drop(f"{name}-least")
+    return saved
 
 
 def connected_components(space: Workspace, edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -32,8 +40,8 @@ def connected_components(space: Workspace, edges: DataFrame, tag: str = "compone
     state, step = mark(now), 0
     while True:
         step += 1
-        wide = space.save(_star(now, True), f"{tag}-{step}-large")
-        after = space.save(_star(wide, False), f"{tag}-{step}")
+        wide = _star(space, now, True, f"{tag}-{step}-large")
+        after = _star(space, wide, False, f"{tag}-{step}")
         fresh = mark(after)
         space.drop(f"{tag}-{step}-large")
         space.drop(f"{tag}-{step - 1}")

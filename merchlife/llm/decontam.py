@@ -96,15 +96,19 @@ def exact(space: Workspace, starts: DataFrame, phrases: DataFrame, docs: DataFra
 def proximity(phrases: DataFrame, index: DataFrame, frequency: DataFrame, slop: int) -> DataFrame:
     """(pid, key, at): each of the phrase's words stands within ``slop`` of its place, counted from an occurrence ``at`` of the rarest.
 
-    ``index`` must hold all terms of the phrases. Lists are joined on (term, key), so only places
-    in one document meet.
+    ``index`` must hold all terms of the phrases. Lists are joined on (term, key, stretch of
+    positions), so only places near each other in one document meet.
     """
     probes = probes_of(phrases, frequency, 1 << 20)
     anchors = probes.where("rank = 1").select("pid", F.col("term"), F.col("offset").alias("from"))
     at = index.join(anchors, "term").select("pid", "key", F.col("pos").alias("at"), "from")
-    wanted = at.join(probes, "pid").withColumnRenamed("term", "need")
-    near = wanted.join(index.select(F.col("term").alias("need"), "key", "pos"), ["need", "key"])
-    near = near.where(F.abs(F.col("pos") - F.col("at") - F.col("offset") + F.col("from")) <= slop)
+    wanted = at.join(probes, "pid").withColumnRenamed("term", "need").withColumn("place", F.col("at") - F.col("from") + F.col("offset"))
+    # Places are joined by stretches of 2 slop + 1, of which a window meets one or two, so a term
+    # that is frequent in a long document meets only what stands near.
+    stretch = lambda x: F.floor(x / F.lit(2 * slop + 1)).cast("long")
+    wanted = wanted.withColumn("stretch", F.explode(F.array_distinct(F.array(stretch(F.col("place") - slop), stretch(F.col("place") + slop)))))
+    held = index.select(F.col("term").alias("need"), "key", "pos", stretch(F.col("pos")).alias("stretch"))
+    near = wanted.join(held, ["need", "key", "stretch"]).where(F.abs(F.col("pos") - F.col("place")) <= slop)
     met = near.groupBy("pid", "key", "at").agg(F.countDistinct("offset").alias("found"))
     return met.join(phrases, "pid").where("found = n").select("pid", "key", "at")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchlife.llm.bytescan import pieces
-from merchlife.llm.storage import Workspace, small
+from merchlife.llm.storage import Workspace, qualified, small
 
 # Fixed values of the file format.
 MASK_DELTA = 0xA282EAD8
@@ -60,13 +60,16 @@ def unframe(record: bytes) -> bytes:
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in path and path.startswith("file:"):
-        path = "file://" + path[5:]
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    """File system and path of a qualified path, by its scheme; some schemes have other names outside Hadoop."""
+    scheme, rest = path.split(":", 1)
+    if not rest.startswith("//"):
+        rest = "//" + rest  # Hadoop writes file:/folder
+    return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }:{rest}")
 
 
 def write(docs: DataFrame, folder: str, coder: Callable, end_id: int, wide: bool) -> DataFrame:
     """Write ``docs(doc_id, text)`` in ascending doc_id order; the rows of the index. ``coder()``: made once for each task."""
+    folder = qualified(docs.sparkSession, folder)
     kind = np.dtype("<u4") if wide else np.dtype("<u2")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
@@ -76,7 +79,7 @@ def write(docs: DataFrame, folder: str, coder: Callable, end_id: int, wide: bool
         part, record, offset, first = TaskContext.get().partitionId(), 0, 0, 0
         store, root = _place(folder)
         try:
-            for batch in pieces(batches, limit=1 << 20):
+            for batch in pieces(batches):
                 if out is None:
                     encode = coder()
                     store.create_dir(root, recursive=True)

@@ -72,7 +72,9 @@ def propagate(space: Workspace, rows: DataFrame, members: DataFrame, shards: int
     spark = space.spark
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    sizes = members.groupBy("hub").agg(F.count("*").alias("size")).where("size > 1")
+    # Results by hub are written before they are joined, so that the join shuffles for itself and
+    # adaptive execution can split a hub with many members.
+    sizes = space.save(members.groupBy("hub").agg(F.count("*").alias("size")).where("size > 1"), "shared-hubs")
     fit = max(1, int(0.8 * (total // shards)))
     split = members.join(sizes, "hub").join(rows, "row").withColumn("parts", F.ceil(F.col("size") / fit))
     # spot mod 2**20 is as well spread as spot, and independent of the high bits that ranks use.
@@ -103,7 +105,8 @@ def propagate(space: Workspace, rows: DataFrame, members: DataFrame, shards: int
             together = F.when(F.pmod(F.xxhash64("hub", F.lit(step)), F.lit(2)) == 0, F.lit(0)).otherwise(together)
         rule = F.struct(together, F.when(together > 0, F.col("n")).otherwise(0), chance)
         best = kept_counts.join(sizes, "hub").join(room, "shard").groupBy("hub").agg(F.max_by(F.struct("shard", "n"), rule).alias("best"))
-        votes = members.join(best.select("hub", "best.shard", "best.n"), "hub").groupBy("row").agg(F.max(F.struct("n", "hub", "shard")).alias("vote"))
+        best = space.save(best.select("hub", "best.shard", "best.n"), f"best-{step}")
+        votes = members.join(best, "hub").groupBy("row").agg(F.max(F.struct("n", "hub", "shard")).alias("vote"))
         moves = kept.join(votes, "row").where(F.col("shard") != F.col("vote.shard"))
         moves = moves.select("row", F.xxhash64("vote.hub", F.lit(step)).alias("turn"), (F.col("shard") * shards + F.col("vote.shard")).alias("way"))
         moves = space.save(moves, f"moves-{step}")

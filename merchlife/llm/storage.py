@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_OPEN: list[Workspace] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +30,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+        _OPEN.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -37,11 +39,25 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Remove a table that no pending result reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._delete(f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Remove all tables, once no pending result reads them."""
+        self._delete(self.path)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def close_all(spark: SparkSession) -> None:
+    """Remove the tables of all operators that this session ran, once their results are written elsewhere."""
+    mine = [w for w in _OPEN if w.spark is spark]
+    for space in mine:
+        space.close()
+        _OPEN.remove(space)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Names a row by its id and text, so that a repeated id with another text stays apart."""
     return F.xxhash64(F.col(doc_id).cast("string"), F.lit("|"), F.col(text))
@@ -67,3 +83,9 @@ def replaced(df: DataFrame, columns: list[str], **results: Column) -> DataFrame:
     taken = {name.lower() for name in results}
     kept = [F.col(f"row.`{c}`").alias(c) for c in columns if c.lower() not in taken]
     return df.select(*kept, *(c.alias(name) for name, c in results.items()))
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark would read it by, which tasks then need no configuration to know."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()

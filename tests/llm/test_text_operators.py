@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -279,6 +280,30 @@ def test_records(awkward, documents):
     assert records.digests(records.tokenized(documents([]), WORDS, 2)).count() == 0
 
 
+def test_records_in_a_folder_without_a_scheme(spark, documents, tmp_path):
+    docs = documents([(i, f"text {i}") for i in range(5)])
+    coder = lambda: lambda column: (np.arange(len(column), dtype=np.int32), np.ones(len(column), np.int64))
+    index = Workspace(spark, "test").save(records.write(docs, str(tmp_path / "plain"), coder, 2, False), "index")
+    assert all(r["file"].startswith("file:/") for r in index.collect())
+    assert sorted(r["doc_id"] for r in records.read(index).collect()) == list(range(5))
+    assert records._place("file:/a/b")[1] == "/a/b"
+
+
+def test_workspaces_can_be_closed(spark, tmp_path):
+    space = Workspace(spark, "test")
+    space.save(spark.range(3), "a")
+    place = space.path.removeprefix("file://")
+    assert os.path.isdir(place)
+    space.close()
+    assert not os.path.isdir(place)
+
+
+def test_too_many_languages_are_an_error(spark, documents):
+    rows = [(i, f"some text {i}", f"l{i}") for i in range(9)]
+    with pytest.raises(ValueError, match="more than 8"):
+        langid.learn(Workspace(spark, "test"), documents(rows), labels=8)
+
+
 def test_damaged_records_are_refused():
     record = records.frame(b"payload")
     assert records.unframe(record) == b"payload"
