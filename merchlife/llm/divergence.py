@@ -10,7 +10,8 @@ A language keeps the terms in at least ``documents`` of its documents; V of them
 occurrences of kept terms, a term of ``count`` has p = 1 + floor(scale (count + 1) / (N + V)), so
 absent terms have one p of their own, and f = floor((p - q)^2 / q) needs whole numbers only. For a pair
 of sources the sum of f over all kept terms is taken from three parts: terms both have, by a join
-on the term; terms one of them has, from the numbers of terms by count; and the number of the rest.
+on the term; terms one of them has, from the numbers of terms by p; and the number of the rest.
+The sums stay below 2**63: those of p are about ``scale`` and q is 1 or more.
 
 Defined cases. Null text, lang and source are ''. A group without kept terms takes part with N = 0; a
 language without kept terms has V = 0, all its pairs 0 and no term rows. Repeated rows are documents of
@@ -32,7 +33,7 @@ from merchlife.llm.storage import Workspace, small
 
 # Fixed by the contract: letters A-Z lowered, other bytes below 128 blank, all else as it is.
 BLANKED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-HELD = 100_000  # terms that a task holds before it hands them on
+ONE_DOCUMENT = 1 << 48  # a held number is occurrences + documents * 2**48
 COUNTED = "lang string, source string, term string, n long, docs long"
 GROUPS = 100_000  # groups up to this number are broadcast
 
@@ -42,27 +43,26 @@ class Params:
     documents: int = 3
     scale: int = 1_000_000_000
     ranks: int = 200
+    held: int = 400_000  # terms that a task holds before it hands them on
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def term_counts(docs: DataFrame, held_terms: int) -> DataFrame:
     """(lang, source, term, n, docs) of ``docs(lang, source, text)``, several rows of a term possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
         size = 0
-        for batch in pieces(batches, limit=1 << 20):
+        for batch in pieces(batches):
             data, offsets = texts(batch.column("text"))
             raw, at = data.tobytes(), offsets.tolist()
             for i, group in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)):
                 found = Counter(raw[at[i] : at[i + 1]].translate(BLANKED).split())
-                if group not in held:
-                    held[group] = (Counter(), Counter())
-                n, in_docs = held[group]
-                size -= len(n)
-                n.update(found)
-                in_docs.update(found.keys())
-                size += len(n)
-                if size > HELD:
+                mine = held.setdefault(group, {})
+                size -= len(mine)
+                for term, n in found.items():
+                    mine[term] = mine.get(term, 0) + n + ONE_DOCUMENT
+                size += len(mine)
+                if size > held_terms:
                     yield from _rows(held)
                     held, size = {}, 0
         yield from _rows(held)
@@ -71,11 +71,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def _rows(held: dict) -> Iterator[pa.RecordBatch]:
-    for (lang, source), (n, in_docs) in held.items():
-        if n:
-            terms = pa.array(list(n), pa.binary()).cast(pa.string())
-            same = [pa.array([x] * len(n), pa.string()) for x in (lang, source)]
-            yield pa.record_batch([*same, terms, pa.array(n.values(), pa.int64()), pa.array([in_docs[t] for t in n], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+    for (lang, source), found in held.items():
+        if found:
+            terms = pa.array(list(found), pa.binary()).cast(pa.string())
+            same = [pa.array([x] * len(found), pa.string()) for x in (lang, source)]
+            n, in_docs = zip(*(divmod(v, ONE_DOCUMENT)[::-1] for v in found.values()), strict=True)
+            yield pa.record_batch([*same, terms, pa.array(n, pa.int64()), pa.array(in_docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
 
 def weight(count: str, total: str, terms: str, scale: int) -> Column:
@@ -93,7 +94,7 @@ def audit(docs: DataFrame, p: Params = Params()) -> DataFrame:
     space = Workspace(docs.sparkSession, "divergence")
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = docs.select(blank("lang"), blank("source"), blank("text"))
-    counts = space.save(term_counts(rows).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
+    counts = space.save(term_counts(rows, p.held).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
     by_term = counts.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs"))
     kept = space.save(by_term.where(F.col("docs") >= p.documents).select("lang", "term", "in_lang"), "kept")
     langs = kept.groupBy("lang").agg(F.sum("in_lang").alias("lang_total"), F.count("*").alias("terms"))
@@ -102,10 +103,13 @@ def audit(docs: DataFrame, p: Params = Params()) -> DataFrame:
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(small(langs, GROUPS), "lang", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     groups = space.save(groups.select("lang", "source", *(zero(c) for c in ("total", "present", "lang_total", "terms"))), "groups")
-    few = small(groups, GROUPS)
-    rated = found.join(few, ["lang", "source"]).withColumns({"p": weight("n", "total", "terms", p.scale), "q": weight("in_lang", "lang_total", "terms", p.scale)})
+    nothing = F.when(F.col("terms") > 0, weight("0", "total", "greatest(terms, 1)", p.scale)).otherwise(F.lit(1).cast("long"))
+    groups = space.save(groups.withColumn("absent", nothing), "rated-groups")
+    rated = found.join(small(groups, GROUPS), ["lang", "source"])
+    rated = rated.withColumns({"p": weight("n", "total", "terms", p.scale), "q": weight("in_lang", "lang_total", "terms", p.scale)})
+    rated = space.save(rated.select("lang", "source", "term", "p", "q", "absent"), "rated")
     terms = rated.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), distance("p", "q").alias("value"))
-    pairs = _pairs(space, found, groups, p).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
+    pairs = _pairs(space, rated, groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     return _ranked(terms, p.ranks).union(_ranked(pairs, None))
 
 
@@ -115,32 +119,25 @@ def _ranked(rows: DataFrame, most: int | None) -> DataFrame:
     return out if most is None else out.where(F.col("rank") <= most)
 
 
-def _pairs(space: Workspace, found: DataFrame, groups: DataFrame, p: Params) -> DataFrame:
+def _pairs(space: Workspace, rated: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) for each two sources of a language."""
-    nothing = F.when(F.col("terms") > 0, weight("0", "total", "greatest(terms, 1)", p.scale)).otherwise(F.lit(1))
-    named = groups.withColumn("absent", nothing)
-    side = lambda x: named.select("lang", *(F.col(c).alias(f"{x}_{c}") for c in ("source", "total", "present", "absent")), *(["terms"] if x == "a" else []))
-    both = space.save(side("a").join(side("b"), "lang").where("a_source <> b_source"), "pairs")  # as many as the result has
+    keys = ["lang", "a", "b"]
+    side = lambda x: groups.select("lang", F.col("source").alias(x), F.col("present").alias(f"{x}_present"), F.col("absent").alias(f"{x}_absent"), *(["terms"] if x == "a" else []))
+    both = space.save(side("a").join(side("b"), "lang").where("a <> b"), "pairs")  # as many as the result has
     few = small(both, GROUPS)
-    alone = found.groupBy("lang", "source", "n").agg(F.count("*").alias("times"))  # terms by their count
-    alone = space.save(alone, "by-count")
-    total = lambda f: F.sum(f.cast("decimal(38,0)"))
-    keys = ["lang", "a_source", "b_source"]
-    mine = alone.select("lang", F.col("source").alias("a_source"), "n", "times").join(few, ["lang", "a_source"])
-    mine = mine.withColumn("p", weight("n", "a_total", "terms", p.scale)).groupBy(*keys).agg(total(distance("p", "b_absent") * F.col("times").cast("decimal(19,0)")).alias("f"), F.lit(0).cast("long").alias("shared"))
-    theirs = alone.select("lang", F.col("source").alias("b_source"), "n", "times").join(few, ["lang", "b_source"])
-    theirs = theirs.withColumn("q", weight("n", "b_total", "terms", p.scale)).groupBy(*keys).agg(total(distance("a_absent", "q") * F.col("times").cast("decimal(19,0)")).alias("f"), F.lit(0).cast("long").alias("shared"))
-    one = found.select("lang", "term", F.col("source").alias("a_source"), F.col("n").alias("a_n"))
-    other = found.select("lang", "term", F.col("source").alias("b_source"), F.col("n").alias("b_n"))
-    met = one.join(other, ["lang", "term"]).where("a_source <> b_source").groupBy(*keys, "a_n", "b_n").agg(F.count("*").alias("times"))
-    met = met.join(few, keys).withColumns({"p": weight("a_n", "a_total", "terms", p.scale), "q": weight("b_n", "b_total", "terms", p.scale)})
-    gain = (distance("p", "q") - distance("p", "b_absent") - distance("a_absent", "q")) * F.col("times").cast("decimal(19,0)")
-    met = met.groupBy(*keys).agg(total(gain).alias("f"), F.sum("times").alias("shared"))
+    none = F.lit(0).cast("long").alias("shared")
+    by_p = space.save(rated.groupBy("lang", "source", "p").agg(F.count("*").alias("times")), "by-p")
+    mine = by_p.withColumnRenamed("source", "a").join(few, ["lang", "a"]).groupBy(*keys).agg(F.sum(distance("p", "b_absent") * F.col("times")).alias("f"), none)
+    theirs = by_p.withColumnRenamed("source", "b").join(few, ["lang", "b"]).groupBy(*keys).agg(F.sum(distance("a_absent", "p") * F.col("times")).alias("f"), none)
+    one = rated.select("lang", "term", F.col("source").alias("a"), "p", F.col("absent").alias("a_absent"))
+    other = rated.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("q"), F.col("absent").alias("b_absent"))
+    gain = distance("p", "q") - distance("p", "b_absent") - distance("a_absent", "q")
+    met = one.join(other, ["lang", "term"]).where("a <> b").groupBy(*keys).agg(F.sum(gain).alias("f"), F.count("*").alias("shared"))
     parts = mine.union(theirs).union(met).groupBy(*keys).agg(F.sum("f").alias("f"), F.sum("shared").alias("shared"))
     out = both.join(parts, keys, "left")
-    rest = F.expr("terms - a_present - b_present + coalesce(shared, 0)").cast("decimal(19,0)")
-    value = F.coalesce("f", F.lit(0).cast("decimal(38,0)")) + rest * distance("a_absent", "b_absent")
-    return out.select("lang", F.col("a_source").alias("source"), F.col("b_source").alias("item"), value.cast("long").alias("value"))
+    rest = F.expr("terms - a_present - b_present + coalesce(shared, 0)")
+    value = F.coalesce("f", F.lit(0).cast("long")) + rest * distance("a_absent", "b_absent")
+    return out.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), value.alias("value"))
 
 
 def oracle(p: Params = Params()) -> str:

@@ -51,13 +51,12 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "lang string, source string, text string").selectExpr("*", "1 as n", "'t' as term", "2 as p", "3 as doc_id")
 
 
-def test_audit_is_that_of_dense_counts(spark, made, monkeypatch):
+def test_audit_is_that_of_dense_counts(spark, made):
     rows = made + [("de", "only", None), ("de", "two", ""), ("de", "two", "12 34"), ("it", "a", "uno due"), ("it", "b", "uno " * 40), ("nl", "x", "een een"), *[("pt", s, "um dois " + s) for s in "abc" for _ in range(3)]]
     rows += [("en", "s1", "lorem ipsum " * 30_000)] * 3
     p = divergence.Params(ranks=5)
     assert sorted(tuple(r) for r in divergence.audit(frame(spark, rows), p).collect()) == brute(rows, p)
-    monkeypatch.setattr(divergence, "HELD", 1)  # a task that hands on after each document
-    again = divergence.audit(frame(spark, made), p)
+    again = divergence.audit(frame(spark, made), divergence.Params(ranks=5, held=1))  # tasks hand on after each document
     assert sorted(tuple(r) for r in again.collect()) == brute(made, p)
 
 
