@@ -46,19 +46,29 @@ def fraud_orders(dispute: DataFrame, order: DataFrame, smb: DataFrame) -> DataFr
     )
 
 
+def disputed_only(transaction: DataFrame, orders: DataFrame) -> DataFrame:
+    """The transactions of the disputed orders, by an inner join.
+
+    A side of a checked size is broadcast and the transactions stay in place. Beyond that size,
+    and with a scan of transactions that is large enough, Spark's runtime Bloom filter of the
+    orders leaves most transactions out before their shuffle. It builds one from sides with a
+    comparison only, which is why the multiplicity, always 1 or more, is compared.
+    """
+    return transaction.join(orders.filter("_times > 0"), "orden_id")
+
+
 def fraud_transactions(transaction: DataFrame, orders: DataFrame) -> DataFrame:
     """Disputed transactions with the account of their order, once per dispute. Disputes
     and orders are joined first, so the transactions, by far the largest side, are joined
     once, and AQE can split a hot order of theirs."""
-    joined = transaction.join(orders, "orden_id")
-    return repeat_rows(joined, "_times").select(*FRAUD_KEYS)
+    return repeat_rows(disputed_only(transaction, orders), "_times").select(*FRAUD_KEYS)
 
 
 def named_fraud(transaction: DataFrame, orders: DataFrame, names: DataFrame) -> DataFrame:
     """Disputed transactions without the repeats, with the merchant: the input of the
     DISTINCT amounts, where repeats do not count. The transactions meet the stored orders
     first, whose size is known: few orders are broadcast and the transactions stay in place."""
-    disputed = transaction.join(orders.select("orden_id", "cuenta_id"), "orden_id")
+    disputed = disputed_only(transaction, orders)
     owners = names.withColumnRenamed("account_id", "cuenta_id")
     return disputed.join(owners, "cuenta_id").select("name_merchant", *FRAUD_KEYS)
 

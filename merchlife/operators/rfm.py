@@ -84,8 +84,52 @@ def rfm_values(financials: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def monthly_medians(values: DataFrame) -> DataFrame:
-    """Exact lower median of the three metrics per month.
+def _medians_wide(found: DataFrame) -> DataFrame:
+    """(mes, the three medians) from (mes, metric, value)."""
+    return found.groupBy("mes").agg(
+        *(F.max(F.when(F.col("metric") == m, F.col("value"))).alias(f"_median{m}") for m in _METRICS)
+    )
+
+
+def bracketed_medians(values: DataFrame, accuracy: int = 1_000) -> DataFrame:
+    """Exact lower median of the three metrics per month, from two scans.
+
+    A mergeable quantile sketch, whose size depends on its accuracy and not on the month, gives
+    two values that the middle rank lies between, close together. One count then says how many
+    values lie below the first and how many there are of each up to the second, which names the
+    value of the middle rank. Only values inside the bracket are shuffled, already counted. The
+    bounds are horizon x 3 rows, which bounds the broadcast. Where a sketch missed, the median is
+    NULL, and `medians_by_digits` finds it.
+    """
+    rows = values.unpivot("mes", list(_METRICS), "metric", "value")
+    keys = ["mes", "metric"]
+    around = F.array(F.lit(0.5 - 2 / accuracy), F.lit(0.5 + 2 / accuracy))
+    bounds = rows.groupBy(*keys).agg(
+        F.percentile_approx("value", around, accuracy).alias("_edges"),
+        F.floor((F.count(F.lit(1)) + 1) / 2).alias("_rank"),
+    )
+    # The sketch holds doubles, which round large numbers.
+    edge = lambda i, way: way(F.col("_edges")[i], F.shiftright(F.abs(F.col("_edges")[i]), 50) + 1)
+    low, high = edge(0, F.try_subtract), edge(1, F.try_add)
+    counts = (
+        rows.join(F.broadcast(bounds), keys)
+        .filter(F.col("value") <= high)
+        .groupBy(*keys, "_rank", F.when(F.col("value") >= low, F.col("value")).alias("value"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    up_to = (
+        Window.partitionBy(*keys)
+        .orderBy(F.col("value").asc_nulls_first())  # what lies below comes first
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    middle = counts.withColumn("_up_to", F.sum("_n").over(up_to)).filter(
+        (F.col("_up_to") >= F.col("_rank")) & (F.col("_up_to") - F.col("_n") < F.col("_rank"))
+    )
+    return _medians_wide(bounds.select(*keys).join(middle, keys, "left").select(*keys, "value"))
+
+
+def medians_by_digits(values: DataFrame) -> DataFrame:
+    """The same, without a sketch.
 
     The median is found 16 bits at a time: count the values per leading digit, keep the
     digit that holds the middle rank, go on inside it. Every pass is a map-side combined
@@ -118,15 +162,22 @@ def monthly_medians(values: DataFrame) -> DataFrame:
             .filter((F.col("_up_to") >= F.col("_rank")) & (below < F.col("_rank")))
             .select(*keys, F.col("_digit").alias("_kept"), (F.col("_rank") - below).alias("_rank"))
         )
-    return kept.groupBy("mes").agg(
-        *(F.max(F.when(F.col("metric") == m, F.col("_kept"))).alias(f"_median{m}") for m in _METRICS)
-    )
+    return _medians_wide(kept.withColumnRenamed("_kept", "value"))
+
+
+def missed(medians: DataFrame) -> bool:
+    """Whether a sketch missed; at most horizon rows are looked at."""
+    wrong = F.lit(False)
+    for m in _METRICS:
+        wrong = wrong | F.col(f"_median{m}").isNull()
+    return not medians.filter(wrong).isEmpty()
 
 
-def rfm_scores(values: DataFrame, p: Params) -> DataFrame:
-    """Scores, high/low labels and group label, in the layout of the precomputed table."""
+def rfm_scores(values: DataFrame, p: Params, medians: DataFrame | None = None) -> DataFrame:
+    """Scores, high/low labels and group label, in the layout of the precomputed table. The
+    medians are the thresholds unless the params have fixed ones."""
     if p.rfm_thresholds is None:
-        scored = values.join(F.broadcast(monthly_medians(values)), "mes")
+        scored = values.join(F.broadcast(medians), "mes")
         limits = [F.col(f"_median{m}") for m in _METRICS]
     else:
         recency, frequency, monetary = p.rfm_thresholds

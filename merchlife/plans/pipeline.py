@@ -40,13 +40,15 @@ def step(build: Callable) -> Callable:
     return once
 
 
-def stage(build: Callable) -> Callable:
+def stage(build: Callable | None = None, **layout) -> Callable:
     """A step that is written once to the shared folder. For results that are much smaller
-    than what they are made from and have several readers."""
+    than what they are made from and have several readers. The layout is StageStore.save's."""
+    if build is None:
+        return lambda build: stage(build, **layout)
 
     @wraps(build)
     def saved(self: MerchantPipeline) -> DataFrame:
-        return self.store.save(build.__name__, build(self))
+        return self.store.save(build.__name__, build(self), **layout)
 
     saved.is_stage = True
     once = step(saved)
@@ -78,7 +80,7 @@ class MerchantPipeline:
 
     def prepare(self) -> None:
         """Writes all stages that this run needs."""
-        given = {"rfm_values", "computed_rfm"} if self.src.rfm is not None else set()
+        given = {"rfm_values", "rfm_medians", "computed_rfm"} if self.src.rfm is not None else set()
         self._together(*(n for n in self.stages() if n not in given), workers=4)
 
     def _together(self, *names: str, workers: int = 3) -> None:
@@ -277,6 +279,7 @@ class MerchantPipeline:
 
     @stage
     def named_fraud(self) -> DataFrame:
+        self._together("fraud_orders", "names")
         return fraud.named_fraud(self.src.transaction, self.fraud_orders(), self.names())
 
     @stage
@@ -401,9 +404,18 @@ class MerchantPipeline:
     def rfm_values(self) -> DataFrame:
         return rfm.rfm_values(self.merchant_month_financials(), self.p)
 
+    @stage
+    def rfm_medians(self) -> DataFrame:
+        return rfm.bracketed_medians(self.rfm_values())
+
     @stage
     def computed_rfm(self) -> DataFrame:
-        return rfm.rfm_scores(self.rfm_values(), self.p)
+        if self.p.rfm_thresholds is not None:
+            return rfm.rfm_scores(self.rfm_values(), self.p)
+        medians = self.rfm_medians()
+        if rfm.missed(medians):
+            medians = rfm.medians_by_digits(self.rfm_values())
+        return rfm.rfm_scores(self.rfm_values(), self.p, medians)
 
     @step
     def rfm_scores(self) -> DataFrame:
@@ -490,7 +502,7 @@ class MerchantPipeline:
     def attach_update_flag(self) -> DataFrame:
         return lifecycle.attach_update_flag(self.management_segment(), self.src.up_down)
 
-    @stage
+    @stage(split="estado_", order=("mes",))
     def lifecycle_rows(self) -> DataFrame:
         return lifecycle.first_trx_marker(self.attach_update_flag())
 

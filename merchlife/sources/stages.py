@@ -36,10 +36,18 @@ class StageStore:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/merchlife-stages/{run or uuid.uuid4().hex}"
 
-    def save(self, name: str, df: DataFrame) -> DataFrame:
+    def save(self, name: str, df: DataFrame, split: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+        """Write a stage. With `split`, a column of few values, it is partitioned by it, and with
+        `order` each file is sorted: readers' filters then leave out files and row groups. Rows
+        are sorted where they are and not moved for it."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if split or order:
+            df = df.sortWithinPartitions(*([split] if split else []), *order)
+        writer = df.write.mode("overwrite")
+        if split:
+            writer = writer.partitionBy(split)
+        writer.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
 
     def close(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)

@@ -7,6 +7,7 @@ import pytest
 
 from merchlife import MerchantPipeline
 from merchlife.operators import activity, attributes, cohorts, fraud
+from merchlife.operators.lifecycle import LIFECYCLE_SCHEMA
 from merchlife.session import check_session
 from merchlife.sources.stages import StageStore
 
@@ -44,7 +45,7 @@ class PlannedStore(StageStore):
         super().__init__(spark)
         self.plans = {}
 
-    def save(self, name, df):
+    def save(self, name, df, **layout):
         self.plans[name] = plan(df)
         return super().save(name, df)
 
@@ -89,6 +90,30 @@ def test_transactions_stay_in_place_for_few_orders(spark, small):
     assert text.count("BroadcastHashJoin") == 2 and "hashpartitioning" not in text
 
 
+def test_transactions_are_filtered_before_their_shuffle(spark, small):
+    """Beyond the broadcast size a Bloom filter of the disputed orders comes before the exchange."""
+    orders = small.fraud_orders()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1kb")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1kb")
+    try:
+        found = fraud.fraud_transactions(small.src.transaction, orders)
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "might_contain" in text and "bloom_filter_agg" in text
+        assert found.count() == small.fraud_transactions().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")
+
+
+def test_states_of_the_lifecycle_rows_are_folders(small):
+    rows = small.lifecycle_rows()
+    text = plan(rows.filter("estado_ = 'Activos' and mes >= date'2001-01-01'"))
+    assert "PartitionFilters: [isnotnull(estado_" in text and "GreaterThanOrEqual(mes," in text
+    active = rows.filter("estado_ = 'Activos'")
+    assert len(rows.inputFiles()) > 0 and rows.columns == list(LIFECYCLE_SCHEMA)
+    assert 0 < active.count() < rows.count()
+
+
 def test_top_account_is_limited_before_the_shuffle(small):
     text = plan(small.top_account_per_merchant())
     assert text.count("WindowGroupLimit") == 2

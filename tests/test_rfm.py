@@ -2,6 +2,9 @@ import random
 from dataclasses import replace
 from datetime import date
 
+import pytest
+from pyspark.sql import functions as F
+
 from merchlife.functions.columns import METHODS
 from merchlife.operators import rfm as R
 
@@ -10,29 +13,46 @@ def brute_median(values):
     return sorted(values)[(len(values) + 1) // 2 - 1]
 
 
-def test_monthly_medians_equal_sorting(spark):
+WAYS = pytest.mark.parametrize("way", [R.bracketed_medians, R.medians_by_digits, lambda df: R.bracketed_medians(df, 20)])
+
+
+@WAYS
+def test_monthly_medians_equal_sorting(spark, way):
     rng = random.Random(7)
     months = [date(2020, m, 1) for m in range(1, 6)]
-    sizes = [1, 2, 7, 100, 501]
+    sizes = [1, 2, 7, 100, 1501]
     data = []
     for m, size in zip(months, sizes):
         for i in range(size):
             data.append((f"n{i}", m, rng.randint(0, 5), rng.randint(-3, 3) * 10**rng.randint(0, 14),
                          rng.choice([0, 5, rng.randint(-(2**62), 2**62)])))
     df = spark.createDataFrame(data, "nombre string, mes date, _recency long, _frequency long, _monetary long")
-    found = {r["mes"]: tuple(r)[1:] for r in R.monthly_medians(df).collect()}
+    found = {r["mes"]: tuple(r)[1:] for r in way(df).collect()}
     for m in months:
         mine = [r for r in data if r[1] == m]
         assert found[m] == tuple(brute_median([r[i] for r in mine]) for i in (2, 3, 4))
 
 
-def test_hot_value_is_the_median(spark):
+@WAYS
+def test_hot_value_is_the_median(spark, way):
     data = [("n", date(2020, 1, 1), 1, 70000, v) for v in [5] * 700 + list(range(1000))]
     df = spark.createDataFrame(data, "nombre string, mes date, _recency long, _frequency long, _monetary long")
-    row = R.monthly_medians(df).first()
+    row = way(df).first()
     assert tuple(row)[1:] == (1, 70000, brute_median([r[4] for r in data]))
 
 
+def test_a_missed_median_is_told(spark):
+    fine = spark.createDataFrame([(date(2020, 1, 1), 1, 2, 3)], "mes date, _median_recency long, _median_frequency long, _median_monetary long")
+    assert not R.missed(fine)
+    assert R.missed(fine.withColumn("_median_monetary", F.lit(None).cast("long")))
+
+
+def test_medians_take_two_scans(spark, small):
+    text = small.spark and R.bracketed_medians(small.rfm_values())._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") <= 3  # the bounds are read twice, by one exchange
+    assert sorted(map(tuple, small.rfm_medians().collect())) == sorted(map(tuple, R.medians_by_digits(small.rfm_values()).collect()))
+
+
 def financials(spark, data):
     return spark.createDataFrame(data, "name_merchant string, month date, tpt double, tpv_usd double")
 
@@ -44,7 +64,7 @@ def test_scores_over_the_window(spark, params):
         (None, date(2020, 3, 1), 9.0, 9.0),
     ]
     values = R.rfm_values(financials(spark, data), params)
-    out = {(r["nombre"], r["fecha_mes"].month): r for r in R.rfm_scores(values, params).collect()}
+    out = {(r["nombre"], r["fecha_mes"].month): r for r in R.rfm_scores(values, params, R.bracketed_medians(values)).collect()}
     assert {k[0] for k in out} == {"a", "b"}
     a = out["a", 6]
     assert (a["recencia"], a["frecuencia_internet"], float(a["monto"])) == (3, 3, 14.5)
@@ -56,7 +76,7 @@ def test_scores_over_the_window(spark, params):
     # January: one merchant, which is its own median. July: a has 1 transaction and 4 USD.
     assert out["a", 1]["rfm_group"] == "Champion"
     assert out["a", 7]["alt_baj_frecuencia"] == "Alta" and out["b", 7]["alt_baj_monto"] == "Alta"
-    assert R.rfm_scores(values, params).schema["monto"].dataType.simpleString() == "decimal(38,4)"
+    assert R.rfm_scores(values, params, R.bracketed_medians(values)).schema["monto"].dataType.simpleString() == "decimal(38,4)"
 
 
 def test_fixed_thresholds(spark, params):
