@@ -74,7 +74,23 @@ def month_number(c: Column | str) -> Column:
 
 
 def decimal_sum(c: Column | str) -> Column:
-    return F.sum(col(c).cast(USD))
+    """Exact sum of a double column, as a decimal with 18 places.
+
+    Amounts of up to four places are whole numbers of their ten-thousandths; these are added as
+    longs, high and low bits apart so that no sum overflows, which takes half the time of decimals.
+    A double is such an amount if the division gives it back. All other addends are added as
+    decimals. A sum that mixes both kinds raises from 1e19 on, any other from 1e20.
+    """
+    x = col(c)
+    units = F.rint(x * 10_000)
+    plain = (units / 10_000 == x) & (F.abs(x) < 9e11)
+    n = F.when(plain, units.cast("long"))
+    high, low = F.sum(F.shiftright(n, 20)), F.sum(n.bitwiseAND(F.lit((1 << 20) - 1)))
+    whole = high.cast("decimal(20,0)") * F.lit(1 << 20).cast("decimal(7,0)") + low.cast("decimal(20,0)")
+    amounts = whole.cast("decimal(28,0)") * F.lit("0.0001").cast("decimal(4,4)")
+    others = F.sum(F.when(~plain, x.cast(USD)))
+    both = amounts.cast("decimal(23,4)") + others.cast("decimal(37,18)")  # of scale 18
+    return F.when(others.isNull(), amounts.cast(USD)).when(amounts.isNull(), others).otherwise(both.cast(USD))
 
 
 def exact_sum(c: Column | str) -> Column:

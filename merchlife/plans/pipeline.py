@@ -288,11 +288,11 @@ class MerchantPipeline:
             self.named_fraud(), self.src.transaction_amount, self.src.fx, self.p.fx_currency
         )
 
-    @stage
+    @step
     def fraud_usd(self) -> DataFrame:
         return fraud.fraud_usd(self.named_fraud(), self.fraud_values())
 
-    @step
+    @stage
     def fraud_by_merchant_month(self) -> DataFrame:
         return fraud.fraud_by_merchant_month(self.fraud_usd())
 
@@ -302,7 +302,7 @@ class MerchantPipeline:
 
     @stage
     def active_with_fraud(self) -> DataFrame:
-        self._together("months_on_book", "merchant_balance_usd", "fraud_usd")
+        self._together("months_on_book", "merchant_balance_usd", "fraud_by_merchant_month")
         return fraud.active_with_fraud(self.active_with_balances(), self.fraud_by_merchant_month())
 
     @step

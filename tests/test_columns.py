@@ -1,5 +1,6 @@
+import random
 from datetime import date
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 from pyspark.sql import functions as F
 
@@ -127,3 +128,23 @@ def test_sources_round_trip(spark, small, tmp_path):
     assert named.client_base.count() == small.src.client_base.count()
     for name in CONTRACTS:
         spark.catalog.dropTempView(f"t_{name}")
+
+
+def test_sums_are_those_of_decimals(spark):
+    rng = random.Random(4)
+    plain = lambda: rng.randint(-(10**9), 10**9) / 10 ** rng.randint(0, 4)
+    odd = lambda: rng.choice([rng.random() * 10 ** rng.randint(-9, 9), 1e-17, 0.1 + 0.2, 9e11, 123456789012345.67, -5e15])
+    kinds = [[plain() for _ in range(200)], [odd() for _ in range(50)], [plain() for _ in range(90)] + [odd() for _ in range(20)] + [None], [None, None], [0.0, -0.0], [5e19], [0.1] * 10, [8.9999999999e11] * 3]
+    data = [(k, x) for k, values in enumerate(kinds) for x in values]
+    rng.shuffle(data)
+    out = spark.createDataFrame(data, "k int, x double").repartition(3).groupBy("k").agg(C.decimal_sum("x").alias("sum"), C.exact_sum("x").alias("double"), C.exact_avg("x").alias("mean"))
+    assert out.schema["sum"].dataType.simpleString() == C.USD
+    found = {r["k"]: r for r in out.collect()}
+    place = Decimal(1).scaleb(-18)
+    with localcontext() as exact:
+        exact.prec = 60
+        for k, values in enumerate(kinds):
+            there = [Decimal(repr(x)).quantize(place, ROUND_HALF_UP) for x in values if x is not None]
+            want = sum(there, Decimal(0)) if there else None
+            assert found[k]["sum"] == want, k
+            assert found[k]["double"] == (None if want is None else float(want))
