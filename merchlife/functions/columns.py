@@ -109,6 +109,28 @@ def exact_avg(c: Column | str) -> Column:
     return F.try_divide(exact_sum(c), F.count(col(c)))
 
 
+def by_key(side: DataFrame) -> DataFrame:
+    """A side of a join that has a row for each account, merchant or order: sort-merge join.
+
+    Such a side is small as Parquet and many times that as rows. Broadcast on the strength of its
+    file, it goes through the driver and into every executor until the data outgrow the threshold."""
+    return side.hint("merge")
+
+
+def left_join_by_month(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """`rows` with the columns that `side` has for their merchant and month.
+
+    The rows are wide and often read, windowed or joined by merchant before or after. So the
+    merchant alone deals them out, in one shuffle and sort for all of these, and the months are
+    compared within it, where either side has a few rows for each month.
+    """
+    keys = ["nombre_merchant", "mes"]
+    theirs = by_key(side.withColumnsRenamed({"nombre_merchant": "_merchant", "mes": "_mes"}))
+    on = (F.col("nombre_merchant") == F.col("_merchant")) & (F.datediff("mes", "_mes") == 0)
+    others = [c for df in (rows, side) for c in df.columns if c not in keys]
+    return rows.join(theirs, on, "left").select(*keys, *others)
+
+
 def flag(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))
 
@@ -154,6 +176,12 @@ def with_return_flag(df: DataFrame) -> DataFrame:
     )
 
 
+def distinct_in_merchant(df: DataFrame) -> DataFrame:
+    """DISTINCT of rows that joins by merchant follow, which need no shuffle of their own then. As
+    in previous_in_merchant, a merchant has few rows here."""
+    return df.repartition("nombre_merchant").distinct()
+
+
 def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
     """Each row `times` times, in two steps so that no array is longer than about
     max(chunk, times / chunk)."""

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from merchlife.functions.columns import (
     MEASURES,
     METHODS,
+    by_key,
     day,
+    distinct_in_merchant,
     exact_sum,
     flag,
     month,
@@ -57,7 +59,7 @@ def payment_method_flags(billing: DataFrame, client_base: DataFrame, p: Params)
         month("billing_date_monthly") == F.col("_month")
     )
     return (
-        per_account.join(groups, on, how)
+        per_account.join(by_key(groups), on, how)
         .groupBy(
             F.coalesce("name_merchant", "account_name").alias("name_merchant_"),
             "billing_date_monthly",
@@ -91,7 +93,7 @@ def merchant_month_base(flags: DataFrame, financials: DataFrame) -> DataFrame:
     on = (F.col("name_merchant_") == F.col("_name")) & (
         month("billing_date_monthly") == F.col("_month")
     )
-    return flags.join(sums, on, "left").drop("_name", "_month")
+    return flags.join(by_key(sums), on, "left").drop("_name", "_month")
 
 
 def month_calendar(spark: SparkSession, p: Params) -> DataFrame:
@@ -176,7 +178,7 @@ def active_payment_usage(active: DataFrame, base: DataFrame, p: Params) -> DataF
     on = (F.col("name_merchant") == F.col("name_merchant_")) & (F.col("mes") == F.col("_month"))
     return (
         active.filter(F.col("group").isin(*p.groups))
-        .join(usage, on, "left")
+        .join(by_key(usage), on, "left")
         .select(
             F.col("name_merchant").alias("nombre_merchant"),
             "mes",
@@ -198,7 +200,7 @@ def method_count_inactive(usage: DataFrame, p: Params) -> DataFrame:
 
 
 def active_dedup(rows: DataFrame) -> DataFrame:
-    return rows.distinct()
+    return distinct_in_merchant(rows)
 
 
 def active_null_to_zero(rows: DataFrame) -> DataFrame:
@@ -258,7 +260,7 @@ def payment_method_mix(billing: DataFrame, client_base: DataFrame, p: Params) ->
     # One row per method here, so the window over a merchant stays small.
     whole = Window.partitionBy("name_merchant")
     return (
-        per_account.join(names, on, how)
+        per_account.join(by_key(names), on, how)
         .groupBy(
             F.coalesce("name_merchant", "account_name").alias("name_merchant"),
             "payment_method_type",

@@ -6,16 +6,18 @@ are made by ids that match nothing, not by leaving rows out.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 from datetime import date
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlife.functions.columns import exact_sum
+from merchlife.functions.columns import by_key, exact_sum
 from merchlife.params import Params
 from merchlife.sources.stages import StageStore
-from merchlife.sources.tables import Sources
+from merchlife.sources.tables import CONTRACTS, OPTIONAL_COLUMNS, Sources, conform
 
 FIXTURE_PARAMS = Params(
     as_of=date(2001, 9, 1),
@@ -80,7 +82,16 @@ def _pick(values: tuple, index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (index + 1).cast("int"))
 
 
-def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def fixture_tables(
+    spark: SparkSession, folder: str, keep: Callable[[str, DataFrame], DataFrame]
+) -> dict[str, Callable[[], DataFrame]]:
+    """Each table as a function that makes it. What needs a shuffle is kept, once; projections
+    of driver tables and of kept ones are not written again. Joins by key are merge joins:
+    a key side just below the broadcast size would be many times that in the driver."""
+
+    def kept(name: str, build: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        return _once(lambda: keep(name, build()))
+
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -101,15 +112,23 @@ def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         .withColumn("m", F.add_months(F.lit(FIRST_MONTH), moved))
         .drop("_index", "_start")
     )
-    first_order = orders.groupBy(F.col("o_custkey").alias("k")).agg(F.min("m").alias("first_order"))
+    first_order = kept(
+        "first_order",
+        lambda: orders.groupBy(F.col("o_custkey").alias("k")).agg(F.min("m").alias("first_order")),
+    )
+
+    def with_first_order(rows: DataFrame) -> DataFrame:
+        return rows.join(by_key(first_order()), "k", "left")
+
     opened = F.date_add(F.add_months("first_order", (-(k % 4)).cast("int")), (k % 28).cast("int"))
     # Some accounts have two equal rows; some another one with other attributes, which is repeated.
     versions = F.when(k % 11 == 0, F.array(F.lit(0), F.lit(1), F.lit(1))).when(
         k % 13 == 0, F.array(F.lit(0), F.lit(0))
     )
     version = F.col("version")
-    account = (
-        customer.join(first_order, "k", "left")
+    account = kept(
+        "account",
+        lambda: with_first_order(customer)
         .withColumn("version", F.explode(F.coalesce(versions, F.array(F.lit(0)))))
         .select(
             text_k.alias("cuenta_id"),
@@ -124,55 +143,69 @@ def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             F.when((k + version) % 5 == 0, F.lit("r")).alias("referido_cuenta_linea"),
             _pick(CITIES, (F.col("c_nationkey") + version) % len(CITIES)).alias("ciudad"),
             (F.col("c_nationkey") + version).alias("grupo_perfil_cobranza_id"),
-        )
+        ),
     )
     country = F.when(F.col("n_regionkey") == 4, F.lit("XX")).otherwise(F.lit("CO"))
-    dimension = (
-        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(first_order, "k", "left")
-        .select(
+
+    def dimension() -> DataFrame:
+        located = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        return with_first_order(located).select(
             "k",
             "c_name",
             "c_mktsegment",
             country.alias("country_account"),
             opened.alias("account_create_date"),
         )
+
+    billed = kept(
+        "billed",
+        lambda: orders.select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice", "m").join(
+            by_key(dimension()), "k"
+        ),
     )
-    billed = orders.select(
-        F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice", "m"
-    ).join(dimension, "k")
-    agg_monthly = billed.select(
-        text_k.alias("account_id"),
-        F.col("c_name").alias("account_name"),
-        F.col("m").alias("billing_date_monthly"),
-        _pick(PAYMENT_METHODS, F.col("o_orderkey") % 10).alias("payment_method_type"),
-        "account_create_date",
-        "country_account",
-    )
-    unbooked = F.col("o_orderkey") % 50 == 0
+    # NULL order keys count as booked, without a merchant name.
+    unbooked = F.coalesce(F.col("o_orderkey") % 50 == 0, F.lit(False))
+    named = F.coalesce((F.col("o_orderkey") % 50 != 0) & (k % 10 != 0), F.lit(False))
     segment_group = F.col("c_mktsegment")
     for source, target in GROUPS.items():
         segment_group = F.when(F.col("c_mktsegment") == source, F.lit(target)).otherwise(
             segment_group
         )
     volume = F.when(F.col("o_orderkey") % 11 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice"))
-    client_base = (
-        billed.select(
-            F.when(unbooked, F.concat(F.lit("u"), text_k)).otherwise(text_k).alias("account_id"),
-            F.when(~unbooked & (k % 10 != 0), merchant).alias("name_merchant"),
+    # Account and merchant follow from the key and two flags, which are narrower in the shuffle.
+    client_base = kept(
+        "client_base",
+        lambda: billed()
+        .select(
+            "k",
+            unbooked.alias("_unbooked"),
+            named.alias("_named"),
             F.col("m").alias("month"),
             segment_group.alias("group"),
             "country_account",
             volume.alias("volume"),
         )
-        .groupBy("account_id", "name_merchant", "month", "group", "country_account")
+        .groupBy("k", "_unbooked", "_named", "month", "group", "country_account")
         .agg(F.count(F.lit(1)).cast("double").alias("tpt"), exact_sum("volume").alias("tpv_usd"))
+        .select(
+            F.when(F.col("_unbooked"), F.concat(F.lit("u"), text_k)).otherwise(text_k).alias("account_id"),
+            F.when(F.col("_named"), merchant).alias("name_merchant"),
+            "month",
+            "group",
+            "country_account",
+            "tpt",
+            "tpv_usd",
+        )
         .withColumn("revenue_usd", F.col("tpv_usd") * F.lit(0.03))
-        .withColumn("gm_usd", F.col("tpv_usd") * F.lit(0.01))
+        .withColumn("gm_usd", F.col("tpv_usd") * F.lit(0.01)),
     )
-    shipped = lineitem.join(
-        orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k")),
-        "l_orderkey",
+    # Balances and transactions are both the line items with the customer of their order.
+    shipped = kept(
+        "shipped",
+        lambda: lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice").join(
+            by_key(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k"))),
+            "l_orderkey",
+        ),
     )
     item = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     part = read("part")
@@ -190,31 +223,41 @@ def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     managed = F.when(pair % 5 == 0, F.lit("gerenciado"))
     return {
         "account": account,
-        "dim_account": customer.join(first_order, "k", "left").select(
-            text_k.alias("account_id"),
-            opened.alias("account_create_date"),
+        "dim_account": kept(
+            "dim_account",
+            lambda: with_first_order(customer).select(
+                text_k.alias("account_id"),
+                opened.alias("account_create_date"),
+            ),
         ),
-        "name_map": customer.select(
+        "name_map": lambda: customer.select(
             F.when(k % 10 == 0, F.concat(F.lit("x"), text_k)).otherwise(text_k).alias("account_id"),
             merchant.alias("name_merchant_2"),
         ),
-        "allow_list": customer.select(
+        "allow_list": lambda: customer.select(
             F.when(k % 20 == 19, F.concat(F.lit("x"), text_k)).otherwise(text_k).alias("account_id")
         ),
-        "agg_monthly": agg_monthly,
+        "agg_monthly": lambda: billed().select(
+            text_k.alias("account_id"),
+            F.col("c_name").alias("account_name"),
+            F.col("m").alias("billing_date_monthly"),
+            _pick(PAYMENT_METHODS, F.col("o_orderkey") % 10).alias("payment_method_type"),
+            "account_create_date",
+            "country_account",
+        ),
         "client_base": client_base,
-        "balance": shipped.select(
+        "balance": lambda: shipped().select(
             text_k.alias("cuenta_id"),
             F.col("l_shipdate").alias("fecha_creacion"),
             F.col("l_extendedprice").alias("saldo"),
         ),
-        "fx": rates.unionByName(other),
-        "transaction": shipped.select(
+        "fx": lambda: rates.unionByName(other),
+        "transaction": lambda: shipped().select(
             F.floor(k / 3).cast("long").alias("usuario_id"),
             item.alias("transaccion_id"),
             F.col("l_orderkey").alias("orden_id"),
         ),
-        "dispute": lineitem.select(
+        "dispute": lambda: lineitem.select(
             F.col("l_orderkey").alias("orden_id"),
             F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), F.lit("FRAUD"))
             .otherwise(F.lit("SERVICE"))
@@ -223,36 +266,39 @@ def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             .otherwise(F.lit("OPEN"))
             .alias("estado"),
         ),
-        "order": orders.select(
+        "order": lambda: orders.select(
             F.col("o_orderkey").alias("orden_id"), F.col("o_custkey").cast("string").alias("cuenta_id")
         ),
-        "transaction_amount": lineitem.select(
+        "transaction_amount": lambda: lineitem.select(
             item.alias("transaccion_id"),
             F.col("l_shipdate").alias("fecha_creacion"),
             F.col("l_extendedprice").alias("pm_purchase_value"),
         ),
-        "fee": part.select(
+        "fee": lambda: part.select(
             F.col("p_partkey").alias("perfil_cobranza_id"),
             F.col("p_retailprice").alias("comision_plana_comercio"),
             (F.col("p_size") / 10).alias("comision_porcentual_comercio"),
         ),
-        "charge_profile": part.select(
+        "charge_profile": lambda: part.select(
             F.col("p_partkey").alias("perfil_cobranza_id"),
             F.floor(F.col("p_partkey") / 4).cast("int").alias("grupo_perfil_cobranza_id"),
             _pick(FEE_TYPES, F.col("p_partkey") % 4).alias("tipo_medio_pago"),
         ),
-        "mcc": nation.select(
+        "mcc": lambda: nation.select(
             F.col("n_nationkey").cast("string").alias("codigo"), F.col("n_name").alias("descripcion")
         ),
-        "up_down": merchants.select(pair.alias("pair")).distinct().select(
-            F.concat(F.lit("M"), F.col("pair").cast("string")).alias("name_merchant"),
-            F.explode(quarter_ends).alias("fecha"),
-            F.when(
-                F.col("pair") % 9 == 0,
-                F.when(F.col("pair") % 2 == 0, F.lit("up")).otherwise(F.lit("down")),
-            ).alias("update_"),
+        "up_down": kept(
+            "up_down",
+            lambda: merchants.select(pair.alias("pair")).distinct().select(
+                F.concat(F.lit("M"), F.col("pair").cast("string")).alias("name_merchant"),
+                F.explode(quarter_ends).alias("fecha"),
+                F.when(
+                    F.col("pair") % 9 == 0,
+                    F.when(F.col("pair") % 2 == 0, F.lit("up")).otherwise(F.lit("down")),
+                ).alias("update_"),
+            ),
         ),
-        "segment": merchants.select(
+        "segment": lambda: merchants.select(
             merchant.alias("name_merchant"),
             F.coalesce(vip, F.lit("masivo")).alias("segment"),
             F.when(vip.isNotNull(), F.lit(1)).otherwise(F.lit(3)).alias("priority"),
@@ -263,7 +309,7 @@ def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
                 F.when(managed.isNotNull(), F.lit(2)).otherwise(F.lit(3)).alias("priority"),
             )
         ),
-        "signup": read("events").filter(F.col("event_type") == "signup").select(
+        "signup": lambda: read("events").filter(F.col("event_type") == "signup").select(
             F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("mail"),
             F.col("ts").cast("string").alias("signup_date"),
             (F.col("user_id") % 25).cast("string").alias("mcc_code"),
@@ -272,10 +318,39 @@ def fixture_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
+def _once(build: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    lock, made = RLock(), []
+
+    def once() -> DataFrame:
+        with lock:
+            if not made:
+                made.append(build())
+            return made[0]
+
+    return once
+
+
+@dataclass
+class FixtureSources(Sources):
+    """Sources whose tables may be functions: such a table is made when it is first read, so
+    a query makes none that it does not need."""
+
+    def __post_init__(self) -> None:
+        pass
+
+    def __getattribute__(self, name: str):
+        value = super().__getattribute__(name)
+        return value() if name in TABLE_NAMES and callable(value) else value
+
+
+TABLE_NAMES = frozenset(f.name for f in fields(Sources))
+
+
 def fixture_sources(spark: SparkSession, folder: str, store: StageStore) -> Sources:
-    """The fixture as source tables, each written once: the pipeline then starts from
-    Parquet scans, as it would from the warehouse tables."""
-    tables = fixture_tables(spark, folder)
-    with ThreadPoolExecutor(6) as pool:
-        saved = pool.map(lambda t: (t[0], store.save(f"source_{t[0]}", t[1])), tables.items())
-        return Sources(**dict(saved))
+    """The fixture as source tables in the layout of their contracts."""
+
+    def conformed(name: str, build: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        return _once(lambda: conform(build(), CONTRACTS[name], OPTIONAL_COLUMNS.get(name, "")))
+
+    tables = fixture_tables(spark, folder, lambda name, df: store.save(f"source_{name}", df))
+    return FixtureSources(**{name: conformed(name, build) for name, build in tables.items()})

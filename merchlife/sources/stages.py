@@ -43,7 +43,7 @@ class StageStore:
         path = f"{self.root}/{name}"
         if split or order:
             df = df.sortWithinPartitions(*([split] if split else []), *order)
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", "zstd")
         if split:
             writer = writer.partitionBy(split)
         writer.parquet(path)

@@ -8,6 +8,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from merchlife.functions.columns import by_key
+
 # Contracts of the input tables. Ids that are compared as text are strings everywhere.
 CONTRACTS: dict[str, str] = {
     "agg_monthly": "account_id string, account_name string, billing_date_monthly date, "
@@ -111,8 +113,8 @@ def account_names(smb: DataFrame, name_map: DataFrame, account: DataFrame) -> Da
     semi-join and the two name joins of each statement that needs a merchant name."""
     own = account.select(F.col("cuenta_id").alias("account_id"), "nombre")
     return (
-        smb.join(name_map, "account_id", "left")
-        .join(own, "account_id", "left")
+        smb.join(by_key(name_map), "account_id", "left")
+        .join(by_key(own), "account_id", "left")
         .select("account_id", F.coalesce("name_merchant_2", "nombre").alias("name_merchant"))
         .distinct()
     )
