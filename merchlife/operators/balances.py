@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlife.functions.columns import exact_avg, month, with_return_flag
+from merchlife.functions.columns import by_key, exact_avg, left_join_by_month, month, with_return_flag
 from merchlife.sources.tables import monthly_fx, to_usd
 
 
@@ -71,7 +71,7 @@ def merchant_balance_usd(
         by_month.filter(~F.col("several"))
         .select(*keys, "saldo", "saldo_fin")
         .unionByName(several.join(ends, keys))
-        .join(names, "account_id")
+        .join(by_key(names), "account_id")
         .join(rates, "fecha_saldo", "left")
         .select(
             "name_merchant",
@@ -96,7 +96,7 @@ def active_with_balances(mobs: DataFrame, balances: DataFrame) -> DataFrame:
         "saldo_promedio_mes",
         "saldo_f_mes",
     )
-    return with_return_flag(mobs).join(usd, ["nombre_merchant", "mes"], "left")
+    return left_join_by_month(with_return_flag(mobs), usd)
 
 
 def balance_columns() -> list[Column]:

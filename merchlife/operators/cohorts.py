@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchlife.functions.columns import (
+    by_key,
     day,
     exact_avg,
     month,
@@ -55,7 +56,7 @@ def first_transaction_counts(milestones: DataFrame) -> DataFrame:
 def names_created_by_month(dim_account: DataFrame, names: DataFrame) -> DataFrame:
     """Merchant names per creation month; `names` holds the allow-listed accounts."""
     return (
-        dim_account.join(names, "account_id")
+        dim_account.join(by_key(names), "account_id")
         .select(month("account_create_date").alias("fecha_creacion"), "name_merchant")
         .distinct()
         .groupBy("fecha_creacion")
@@ -65,7 +66,7 @@ def names_created_by_month(dim_account: DataFrame, names: DataFrame) -> DataFram
 
 def accounts_created_by_month(dim_account: DataFrame, smb: DataFrame) -> DataFrame:
     return (
-        dim_account.join(smb, "account_id", "left_semi")
+        dim_account.join(by_key(smb), "account_id", "left_semi")
         .groupBy(month("account_create_date").alias("fecha_creacion"))
         .agg(F.count(F.lit(1)).alias("cantidad"))
     )
@@ -87,7 +88,7 @@ def months_on_book(active: DataFrame, milestones: DataFrame) -> DataFrame:
         F.col("mes") == F.col("primera_trx_nombre")
     )
     return (
-        active.join(cohort, "nombre_merchant", "left")
+        active.join(by_key(cohort), "nombre_merchant", "left")
         .withColumns(
             {
                 "creacion_hasta_first_trx": month_diff(

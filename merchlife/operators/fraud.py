@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchlife.functions.columns import USD, left_join_hot_right, month, repeat_rows
+from merchlife.functions.columns import USD, by_key, left_join_by_month, left_join_hot_right, month, repeat_rows
 from merchlife.sources.tables import monthly_fx, to_usd
 
 FRAUD_KEYS = ("cuenta_id", "usuario_id", "transaccion_id", "orden_id")
@@ -38,11 +38,11 @@ def fraud_orders(dispute: DataFrame, order: DataFrame, smb: DataFrame) -> DataFr
     a hot order.
     """
     return (
-        order.join(fraud_disputes(dispute), "orden_id")
+        order.join(by_key(fraud_disputes(dispute)), "orden_id")
         .repartition("orden_id", "cuenta_id")
         .groupBy("orden_id", "cuenta_id")
         .agg(F.sum("_times").alias("_times"))
-        .join(smb.withColumnRenamed("account_id", "cuenta_id"), "cuenta_id", "left_semi")
+        .join(by_key(smb.withColumnRenamed("account_id", "cuenta_id")), "cuenta_id", "left_semi")
     )
 
 
@@ -129,7 +129,7 @@ def active_with_fraud(active: DataFrame, by_merchant: DataFrame) -> DataFrame:
         "monto_fraude",
         "cantidad_fraude",
     )
-    return active.join(found, ["nombre_merchant", "mes"], "left").withColumns(
+    return left_join_by_month(active, found).withColumns(
         {
             "monto_fraude": F.coalesce("monto_fraude", F.lit(0).cast(USD)),
             "cantidad_fraude": F.coalesce("cantidad_fraude", F.lit(0).cast("long")),

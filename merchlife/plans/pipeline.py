@@ -10,6 +10,7 @@ from threading import RLock
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+from merchlife.functions.columns import distinct_in_merchant
 from merchlife.operators import (
     activity,
     attributes,
@@ -329,7 +330,7 @@ class MerchantPipeline:
     @step
     def active_distinct(self) -> DataFrame:
         """Rows that differed in NULL against 0 are equal by now."""
-        return self.active_with_fraud().distinct()
+        return distinct_in_merchant(self.active_with_fraud())
 
     @step
     def active_mcc(self) -> DataFrame:
