@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchlife.functions.columns import FEES, MEASURES, METHODS, USD, month, yes_no
+from merchlife.functions.columns import FEES, MEASURES, METHODS, USD, by_key, left_join_by_month, month, yes_no
 from merchlife.operators.attributes import REFERRED
 from merchlife.params import Params
 
@@ -124,7 +124,7 @@ def created_without_activation(created: DataFrame, active: DataFrame) -> DataFra
     started = active.filter(F.col("created_activated") == "activa_mes_creada").select(
         "nombre_merchant", "mes"
     )
-    return created.join(started, ["nombre_merchant", "mes"], "left_anti")
+    return created.join(by_key(started), ["nombre_merchant", "mes"], "left_anti")
 
 
 def flag_activated(created: DataFrame, active: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def flag_activated(created: DataFrame, active: DataFrame) -> DataFrame:
     started = active.filter(F.col("created_activated") == "activa_mes_creada").select(
         "nombre_merchant", "mes", F.lit(1).alias("flag")
     )
-    return created.join(started, ["nombre_merchant", "mes"], "left")
+    return created.join(by_key(started), ["nombre_merchant", "mes"], "left")
 
 
 def merchant_segments(segment: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def merchant_segments(segment: DataFrame) -> DataFrame:
 
 
 def management_segment(rows: DataFrame, segment: DataFrame) -> DataFrame:
-    return rows.join(merchant_segments(segment), "nombre_merchant", "left").withColumn(
+    return rows.join(by_key(merchant_segments(segment)), "nombre_merchant", "left").withColumn(
         "gerenciado", F.coalesce("gerenciado", F.lit(MASS_SEGMENT))
     )
 
@@ -153,7 +153,7 @@ def attach_update_flag(rows: DataFrame, up_down: DataFrame) -> DataFrame:
     changes = up_down.select(
         F.col("name_merchant").alias("nombre_merchant"), F.col("fecha").alias("mes"), "update_"
     )
-    return rows.join(changes, ["nombre_merchant", "mes"], "left")
+    return left_join_by_month(rows, changes)
 
 
 def first_trx_marker(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from merchlife.functions.columns import (
     FEES,
     day,
     decimal_sum,
+    left_join_by_month,
     month,
     month_diff,
     previous_in_merchant,
@@ -220,7 +221,7 @@ def attach_rfm(rows: DataFrame, rfm: DataFrame) -> DataFrame:
     scores = rfm.select(
         F.col("nombre").alias("nombre_merchant"), month("fecha_mes").alias("mes"), *RFM_COLUMNS
     )
-    return rows.join(scores, ["nombre_merchant", "mes"], "left")
+    return left_join_by_month(rows, scores)
 
 
 def _active_since(rows: DataFrame, p: Params) -> DataFrame:
