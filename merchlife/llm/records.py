@@ -28,13 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from merchlife.llm.bytescan import pieces
+from merchlife.llm.bytescan import pieces, release
 from merchlife.llm.storage import Workspace, qualified, small
 
 # Fixed values of the file format.
 MASK_DELTA = 0xA282EAD8
 LENGTH, CHECK, HEAD, HEAD_BYTES = "<Q", "<I", "<qBB", 10
 INDEX = "part int, record long, doc_id long, file string, offset long, length long, first long, n_tokens long"
+RECORDS = "part int, record long, first long, doc_id long, ids array<long>"
+TOGETHER = 1 << 20  # bytes of records that are read at once, or one longer record
 
 
 def masked(data: bytes) -> int:
@@ -68,7 +70,7 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def write(docs: DataFrame, folder: str, coder: Callable, end_id: int, wide: bool) -> DataFrame:
-    """Write ``docs(doc_id, text)`` in ascending doc_id order; the rows of the index. ``coder()``: made once for each task."""
+    """Write ``docs(doc_id, text)`` in ascending doc_id order; the rows of the index. ``coder()`` is called once in each task."""
     folder = qualified(docs.sparkSession, folder)
     kind = np.dtype("<u4") if wide else np.dtype("<u2")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
@@ -107,8 +109,11 @@ def write(docs: DataFrame, folder: str, coder: Callable, end_id: int, wide: bool
     return ordered.mapInArrow(run, INDEX)
 
 
-def read(index: DataFrame) -> DataFrame:
-    """(part, record, first, doc_id, ids) of the index's records, in the order in which its rows come; every checksum is verified."""
+def read(index: DataFrame, turn: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda batch: batch, schema: str = RECORDS) -> DataFrame:
+    """(part, record, first, doc_id, ids) of the index's records, in the order in which its rows come; every checksum is verified.
+
+    ``turn`` makes rows of ``schema`` from each batch of records in the worker that reads them, so that ids nobody
+    asks for are not sent to the JVM, nor to a second worker beside the first."""
 
     def run(batches):
         name, store, source = None, None, None
@@ -123,7 +128,7 @@ def read(index: DataFrame) -> DataFrame:
                     store, path = _place(name)
                     source = store.open_input_file(path)
                 j, size = i, 0  # records that follow each other are read at once
-                while j < len(batch) and columns[0][j] == name and columns[1][j] == columns[1][i] + size and (j == i or size < 1 << 22):
+                while j < len(batch) and columns[0][j] == name and columns[1][j] == columns[1][i] + size and (j == i or size + columns[2][j] <= TOGETHER):
                     size += columns[2][j]
                     j += 1
                 source.seek(columns[1][i])
@@ -133,17 +138,18 @@ def read(index: DataFrame) -> DataFrame:
                     payload = unframe(data[at : at + n])
                     doc, there, width = struct.unpack_from(HEAD, payload)
                     docs.append(doc if there else None)
-                    ids.append(np.frombuffer(payload, f"<u{width}", offset=HEAD_BYTES).astype(np.int64))
+                    ids.append(np.frombuffer(payload, f"<u{width}", offset=HEAD_BYTES))
                     at += n
                 cuts = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids)))
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids).astype(np.int64)))
                 rows = batch.slice(i, j - i)
-                yield pa.record_batch([rows.column("part"), rows.column("record"), rows.column("first"), pa.array(docs, pa.int64()), lists], names=["part", "record", "first", "doc_id", "ids"])
+                yield turn(pa.record_batch([rows.column("part"), rows.column("record"), rows.column("first"), pa.array(docs, pa.int64()), lists], names=["part", "record", "first", "doc_id", "ids"]))
                 i = j
         if source is not None:
             source.close()
+        release()
 
-    return index.select("part", "record", "first", "file", "offset", "length").mapInArrow(run, "part int, record long, first long, doc_id long, ids array<long>")
+    return index.select("part", "record", "first", "file", "offset", "length").mapInArrow(run, schema)
 
 
 def shuffled(index: DataFrame, seed: int) -> DataFrame:
@@ -153,16 +159,14 @@ def shuffled(index: DataFrame, seed: int) -> DataFrame:
 
 def digests(index: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) read back from the files; start counts the ids of all documents before."""
-    records = read(index)
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, cuts = np.asarray(ids.flatten()).astype("<u4"), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(ids)))])
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.record_batch([batch.column("part"), batch.column("first"), batch.column("doc_id"), pa.array(np.diff(cuts).astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "first", "doc_id", "n_tokens", "ids_crc32"])
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column("ids")
+        flat, cuts = np.asarray(ids.flatten()).astype("<u4"), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(ids)))])
+        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.record_batch([batch.column("part"), batch.column("first"), batch.column("doc_id"), pa.array(np.diff(cuts).astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "first", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = records.mapInArrow(run, "part int, first long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = read(index, digest, "part int, first long, doc_id long, n_tokens long, ids_crc32 long")
     parts = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return rows.join(small(before, 1_000_000), "part").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
@@ -172,8 +176,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Encode, write and index ``docs`` in the shared folder; the committed index."""
     from tokenizers import Tokenizer
 
-    from merchlife.llm.wordbpe import WordCoder
+    from merchlife.llm import wordbpe
 
     space = Workspace(docs.sparkSession, "records")
     wide = max(end_id + 1, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)) > 1 << 16
-    return space.save(write(docs, f"{space.path}/files", lambda: WordCoder(path).encode, end_id, wide), "index")
+    return space.save(write(docs, f"{space.path}/files", lambda: wordbpe.coder(path).encode, end_id, wide), "index")

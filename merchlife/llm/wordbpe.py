@@ -8,6 +8,7 @@ to the library whole.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +92,9 @@ class WordCoder:
             total[i], done = len(found.ids), i
         parts.append(ids[before[done] :])
         return np.concatenate(parts), total
+
+
+@lru_cache(maxsize=2)
+def coder(path: str) -> WordCoder:
+    """Once for each worker. A coder for each task would be loaded each time, and its memory is not all given back."""
+    return WordCoder(path)
